@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REG, Registry
 
-MODULES = ["customer_features"]
+MODULES = ["customer_features", "relational", "business_metrics"]
 
 
 def load_all() -> Registry:
