@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REG, Registry
 
-MODULES = ["customer_features", "relational", "business_metrics"]
+MODULES = ["customer_features", "relational", "business_metrics", "cohorts_and_tests", "recommendations"]
 
 
 def load_all() -> Registry:
