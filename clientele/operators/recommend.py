@@ -256,7 +256,7 @@ def recommend_by_factors(coded: DataFrame, model, n: int = 10) -> DataFrame:
     return best.join(people, "user_code").join(goods, "item_code").select(PERSON, ITEM, "score", "rank")
 
 
-def compare_factor_models(coded: DataFrame, folds: int = 5, seed: int = 42, grid: dict | None = None) -> DataFrame:
+def compare_factor_models(coded: DataFrame, folds: int = 5, seed: int = 42, grid: dict | None = None, iterations: int = 20) -> DataFrame:
     """Cross-validated errors of the factor models and a tuned one; one row per model, best first."""
     grid = grid or {"rank": [30, 50, 70], "regParam": [0.1, 0.2, 0.3]}
     spark, rows = coded.sparkSession, []
@@ -274,14 +274,14 @@ def compare_factor_models(coded: DataFrame, folds: int = 5, seed: int = 42, grid
         rows.append((name, scores["rmse"], scores["mae"]))
 
     try:
-        cv("svd", als_model(grid["rank"][0], 0.1))
-        cv("nmf", als_model(grid["rank"][0], 0.1, nonnegative=True))
-        als = als_model()
+        cv("svd", als_model(grid["rank"][0], 0.1, iterations=iterations))
+        cv("nmf", als_model(grid["rank"][0], 0.1, True, iterations))
+        als = als_model(iterations=iterations)
         params = ParamGridBuilder()
         for p, vals in grid.items():
             params = params.addGrid(getattr(als, p), vals)
         tuned = CrossValidator(estimator=als, estimatorParamMaps=params.build(), evaluator=evaluators["rmse"], numFolds=3, seed=seed, parallelism=2).fit(data)
-        cv("svd_tuned", als_model(tuned.bestModel.rank, tuned.bestModel._java_obj.parent().getRegParam()))
+        cv("svd_tuned", als_model(tuned.bestModel.rank, tuned.bestModel._java_obj.parent().getRegParam(), iterations=iterations))
     finally:
         data.unpersist()
     return spark.createDataFrame(rows, "model string, rmse double, mae double").orderBy("rmse")

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REG, Registry
 
-MODULES = ["customer_features", "relational", "business_metrics", "cohorts_and_tests", "recommendations"]
+MODULES = ["customer_features", "relational", "business_metrics", "cohorts_and_tests", "recommendations", "review_text", "churn_models"]
 
 
 def load_all() -> Registry:

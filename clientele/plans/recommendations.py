@@ -179,17 +179,17 @@ def _(spark, sf):
 @REG.add("als_train_eval")
 def _(spark, sf):
     coded = stage(rc.coded_ratings(explicit(spark, sf)), "coded")
-    return rc.compare_factor_models(coded, folds=3, grid={"rank": [5], "regParam": [0.1, 0.3]})
+    return rc.compare_factor_models(coded, folds=2, iterations=3, grid={"rank": [5], "regParam": [0.1, 0.3]})
 
 
 # --- networks ---------------------------------------------------------------------------------------
 
 EDGES = PRE + """, bi AS (SELECT order_id, brand, count(*) AS w FROM itm JOIN prod USING (product_id) GROUP BY 1, 2),
-edges AS (SELECT a.brand AS a, b.brand AS b, CAST(sum(a.w * b.w) AS BIGINT) AS weight FROM bi a JOIN bi b ON a.order_id = b.order_id AND a.brand < b.brand GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {low})"""
+bedge AS (SELECT a.brand AS a, b.brand AS b, CAST(sum(a.w * b.w) AS BIGINT) AS weight FROM bi a JOIN bi b ON a.order_id = b.order_id AND a.brand < b.brand GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {low})"""
 PAIRS = PRE + """, pi AS (SELECT order_id, product_id, count(*) AS w FROM itm GROUP BY 1, 2), tp AS (SELECT a.product_id AS a, b.product_id AS b, CAST(sum(a.w * b.w) AS BIGINT) AS weight FROM pi a JOIN pi b ON a.order_id = b.order_id AND a.product_id < b.product_id GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20)"""
 
 
-@REG.add("co_purchase_edges", EDGES.replace("{low}", "5") + " SELECT a, b, weight FROM edges")
+@REG.add("co_purchase_edges", EDGES.replace("{low}", "5") + " SELECT a, b, weight FROM bedge")
 def _(spark, sf):
     return pr.co_occurrence(branded(spark, sf), member="product_brand", min_weight=5)
 
@@ -199,13 +199,13 @@ def _(spark, sf):
     return pr.co_occurrence(Star(spark, sf).items(), min_weight=2)
 
 
-@REG.add("graph_stats", EDGES.replace("{low}", "60") + f", d AS (SELECT n, count(*) AS g FROM (SELECT a AS n FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1) SELECT count(*) AS num_nodes, CAST(sum(g) / 2 AS BIGINT) AS num_edges, {r('sum(g) / count(*)', 6, 'avg_degree')}, {r('sum(g) / (count(*) * (count(*) - 1))', 6, 'density')} FROM d")
+@REG.add("graph_stats", EDGES.replace("{low}", "60") + f", d AS (SELECT n, count(*) AS g FROM (SELECT a AS n FROM bedge UNION ALL SELECT b FROM bedge) GROUP BY 1) SELECT count(*) AS num_nodes, CAST(sum(g) / 2 AS BIGINT) AS num_edges, {r('sum(g) / count(*)', 6, 'avg_degree')}, {r('sum(g) / (count(*) * (count(*) - 1))', 6, 'density')} FROM d")
 def _(spark, sf):
     edges = pr.co_occurrence(branded(spark, sf), member="product_brand", min_weight=60)
     return gr.graph_stats(edges).select("num_nodes", "num_edges", *rnd("avg_degree", "density", digits=6))
 
 
-@REG.add("graph_degrees", EDGES.replace("{low}", "60") + " SELECT n AS node, count(*) AS degree FROM (SELECT a AS n FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1")
+@REG.add("graph_degrees", EDGES.replace("{low}", "60") + " SELECT n AS node, count(*) AS degree FROM (SELECT a AS n FROM bedge UNION ALL SELECT b FROM bedge) GROUP BY 1")
 def _(spark, sf):
     return gr.degrees(pr.co_occurrence(branded(spark, sf), member="product_brand", min_weight=60))
 
@@ -220,7 +220,7 @@ def _(spark, sf):
     return gr.customer_similarity_edges(explicit(spark, sf), 100, 0.05).select("a", "b", *rnd("weight", digits=6))
 
 
-@REG.add("sink_graph_edges", EDGES.replace("{low}", "60") + " SELECT a, b, weight, da.degree AS degree_a FROM edges JOIN (SELECT n, count(*) AS degree FROM (SELECT a AS n FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1) da ON n = a")
+@REG.add("sink_graph_edges", EDGES.replace("{low}", "60") + " SELECT a, b, weight, da.degree AS degree_a FROM bedge JOIN (SELECT n, count(*) AS degree FROM (SELECT a AS n FROM bedge UNION ALL SELECT b FROM bedge) GROUP BY 1) da ON n = a")
 def _(spark, sf):
     edges = stage(pr.co_occurrence(branded(spark, sf), member="product_brand", min_weight=60), "edges")
     path = staging_path(spark, "graph")
