@@ -290,8 +290,9 @@ def model_cost_view(scores: DataFrame, customers: DataFrame, value: float = 200.
     """Net benefit of acting on a model with the given ``precision`` and ``recall`` columns."""
     base = one_row(customers.agg(F.count("*").alias("n"), F.sum("churned").alias("gone")))
     n, gone = base.getField("n"), base.getField("gone")
-    tp = F.floor(gone * F.col("recall"))
-    fp = F.floor((n - gone) * (1 - F.col("precision")))
+    whole = lambda x: F.floor(x + 1e-9)   # 99.999... stands for 100
+    tp = whole(gone * F.col("recall"))
+    fp = whole((n - gone) * (1 - F.col("precision")))
     fn = gone - tp
     return scores.withColumns({
         "true_positives": tp, "false_positives": fp, "false_negatives": fn,

@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.core import finite_or_zero, first_match, flag, one_row, ratio
+from ..functions.core import finite_or_zero, flag, one_row, ratio
 from ..functions.order_stats import global_rank, grouped_quantiles
 from ..functions.sampling import unit_hash
 from ..functions.staging import stage
@@ -101,7 +101,7 @@ def near_neighbours(rows: DataFrame, key: str, columns: list[str], k: int = 15,
         score = sum((F.col(c).cast("double") * (unit_hash(F.lit(c), p, seed) - 0.5) for c in columns), F.lit(0.0))
         line = stage(global_rank(rows.select(key, F.round(score, 9).alias("s")), "s", key, "pos").select(key, "pos"), "line")
         steps = [F.lit(d) for d in range(-reach, reach + 1) if d]
-        asks = line.select(key, (F.col("pos") + F.explode(F.array(*steps))).alias("pos"))
+        asks = line.withColumn("_step", F.explode(F.array(*steps))).select(key, (F.col("pos") + F.col("_step")).alias("pos"))
         found.append(asks.join(line.select(F.col(key).alias("other"), "pos"), "pos").select(key, "other"))
     cand = reduce(DataFrame.unionByName, found).distinct()
     both = cand.join(base, key).join(base.select(F.col(key).alias("other"), F.col("v").alias("w")), "other")
@@ -125,7 +125,7 @@ def smote(df: DataFrame, key: str, label: str, columns: list[str], ratio_to: flo
     chosen = plan.join(degree, key).withColumn("rank", (F.floor(unit_hash(F.col(key), F.col("_copy"), "which", seed) * F.col("_deg")) + 1).cast("int"))
     between = unit_hash(F.col(key), F.col("_copy"), "gap", seed)
     mixed = chosen.join(near, [key, "rank"]).withColumn("_g", between)
-    point = F.zip_with("v", F.transform("w", lambda x: x), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    point = F.zip_with("v", "w", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     rows = mixed.select(F.col(key).alias("from_key"), F.col("other").alias("to_key"), "_g", point.alias("pt"))
     return rows.select("from_key", "to_key", *[(F.col("pt")[i]["x"] + F.col("_g") * (F.col("pt")[i]["y"] - F.col("pt")[i]["x"])).alias(c)
                                               for i, c in enumerate(columns)], F.lit(1).alias(label))

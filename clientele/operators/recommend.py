@@ -170,14 +170,16 @@ def rating_errors(predictions: DataFrame) -> DataFrame:
 
 # --- factor models -------------------------------------------------------------------------------------
 
-def truncated_svd(ratings: DataFrame, rank: int = 50, rounds: int = 8, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+def truncated_svd(ratings: DataFrame, rank: int = 50, rounds: int = 8, seed: int = 42, extra: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Leading singular triplets of the user x item matrix: ``(user factors, item factors, values)``.
 
     Subspace iteration on the long rating table. A round is two joins with sums (items to users and back);
-    only ``rank`` x ``rank`` matrices visit the driver, to keep the columns orthonormal.
+    only small square matrices visit the driver, to keep the columns orthonormal. ``extra`` more columns
+    than wanted speed up convergence and are cut at the end.
     """
-    cols = [f"f{i}" for i in range(rank)]
     cells = stage(ratings.select(PERSON, ITEM, "rating"), "svd")
+    width = min(rank + extra, cells.select(ITEM).distinct().count(), cells.select(PERSON).distinct().count())
+    cols = [f"f{i}" for i in range(width)]
     draw = [(unit_hash(F.col(ITEM), i, seed) - 0.5).alias(c) for i, c in enumerate(cols)]
     items = _rotate(cells.select(ITEM).distinct().select(ITEM, *draw), ITEM, cols)
     for _ in range(rounds):
@@ -185,7 +187,7 @@ def truncated_svd(ratings: DataFrame, rank: int = 50, rounds: int = 8, seed: int
         items = _rotate(_spread(cells, users, PERSON, ITEM, cols), ITEM, cols)
     users = stage(_spread(cells, items, ITEM, PERSON, cols), "svd")
     power, turn = np.linalg.eigh(_gram(users, cols))
-    order = np.argsort(power)[::-1]
+    order = np.argsort(power)[::-1][:rank]
     turn, values = turn[:, order], np.sqrt(np.maximum(power[order], 0.0))
     names = ratings.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "component int, singular_value double")
     return _apply(users, PERSON, cols, turn), _apply(items, ITEM, cols, turn), names

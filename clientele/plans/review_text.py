@@ -163,8 +163,9 @@ def _(spark, sf):
 UNIT = lambda v: f"list_transform({v}, lambda x: x::DOUBLE / sqrt({DOT.format(a=v, b=v)}))"
 
 
-@REG.add("word_analogy", f"""WITH v AS (SELECT {UNIT('(SELECT embedding FROM embeddings WHERE vec_id = 1)')} AS a, {UNIT('(SELECT embedding FROM embeddings WHERE vec_id = 2)')} AS b, {UNIT('(SELECT embedding FROM embeddings WHERE vec_id = 3)')} AS c),
-  t AS (SELECT list_transform(range(1, 65), lambda i: b[i] - a[i] + c[i]) AS t FROM v), s AS (SELECT vec_id, {COS('embedding', 't')} AS s FROM embeddings, t WHERE vec_id NOT IN (1, 2, 3)) SELECT vec_id, {r('s', 5, 'similarity')} FROM s ORDER BY s DESC, vec_id LIMIT 5""")
+@REG.add("word_analogy", f"""WITH e AS (SELECT x.embedding AS a, y.embedding AS b, z.embedding AS c FROM embeddings x, embeddings y, embeddings z WHERE x.vec_id = 1 AND y.vec_id = 2 AND z.vec_id = 3),
+  v AS (SELECT {UNIT('a')} AS a, {UNIT('b')} AS b, {UNIT('c')} AS c FROM e), t AS (SELECT list_transform(range(1, 65), lambda i: b[i] - a[i] + c[i]) AS t FROM v),
+  s AS (SELECT vec_id, {COS('embedding', 't')} AS s FROM embeddings, t WHERE vec_id NOT IN (1, 2, 3)) SELECT vec_id, {r('s', 5, 'similarity')} FROM s ORDER BY s DESC, vec_id LIMIT 5""")
 def _(spark, sf):
     return tx.word_analogy(Star(spark, sf).vectors(), 1, 2, 3, 5, "vec_id", "embedding").select("vec_id", *rnd("similarity", digits=5))
 
