@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import (at_least, at_most, cut, elapsed_days, first_match, flag, lookup, month_start,
                               one_row, ratio)
-from ..functions.order_stats import grouped_quantiles, lag_within, qcut_rank, qcut_values, quantiles
+from ..functions.order_stats import grouped_quantiles, column_quantiles, lag_within, qcut_many, qcut_rank, quantiles
 
 PERSON = "customer_unique_id"
 TS = "order_purchase_timestamp"
@@ -104,8 +104,7 @@ def avg_days_between(policy: str = "per_order") -> Column:
 
 def rfm_scores_exact(features: DataFrame) -> DataFrame:
     """Quintile scores 1..5. ``features`` is read several times: pass a staged table."""
-    scored = qcut_values(features, "recency_days", 5, "R_score", [5, 4, 3, 2, 1])
-    scored = qcut_values(scored, "monetary_value", 5, "M_score")
+    scored = qcut_many(features, {"recency_days": ("R_score", [5, 4, 3, 2, 1]), "monetary_value": ("M_score", [1, 2, 3, 4, 5])})
     by_rank = qcut_rank(features.select(PERSON, "frequency"), "frequency", PERSON, 5, "F_score").drop("frequency")
     return with_rfm_code(scored.join(by_rank, PERSON))
 
@@ -215,11 +214,9 @@ def quartile_flags(features: DataFrame, n_states: int = 10) -> DataFrame:
                    .orderBy(F.desc("_c"), "customer_state").limit(n_states)
                    .select("customer_state", F.lit(1).alias("is_top_state")))
     out = features.join(top, "customer_state", "left").withColumn("is_top_state", F.coalesce("is_top_state", F.lit(0)))
-    for c, name in (("total_revenue", "is_high_value"), ("total_orders", "is_frequent_buyer"),
-                    ("products_per_order", "is_diverse_buyer")):
-        edge = one_row(quantiles(features, c, {"q3": 0.75})).getField("q3")
-        out = out.withColumn(name, flag(F.col(c) > edge))
-    return out
+    names = {"total_revenue": "is_high_value", "total_orders": "is_frequent_buyer", "products_per_order": "is_diverse_buyer"}
+    out = out.withColumn("_q", one_row(column_quantiles(features, list(names), {"q3": 0.75})))
+    return out.withColumns({name: flag(F.col(c) > F.col(f"_q.{c}_q3")) for c, name in names.items()}).drop("_q")
 
 
 # --- time patterns ----------------------------------------------------------------------------
@@ -231,14 +228,14 @@ def most_frequent(df: DataFrame, keys: list[str], value: str, out: str) -> DataF
     return best.select(*keys, F.col("_best.v").alias(out))
 
 
-def order_gaps(orders: DataFrame, key: str = PERSON, ts: str = TS, tie: str = "order_id") -> DataFrame:
+def order_gaps(orders: DataFrame, key: str = PERSON, ts: str = TS, tie: str = "order_id", chunk: str = "MONTH") -> DataFrame:
     """Days since the key's previous order; the key is the person, not the per-order customer id."""
-    lagged = lag_within(orders, key, ts, tie, "previous_order")
+    lagged = lag_within(orders, key, ts, tie, "previous_order", chunk)
     return lagged.withColumn("days_since_last_order", elapsed_days("previous_order", ts))
 
 
-def order_patterns(orders: DataFrame, key: str = PERSON, ts: str = TS, tie: str = "order_id") -> DataFrame:
-    gaps = order_gaps(orders, key, ts, tie).groupBy(key).agg(
+def order_patterns(orders: DataFrame, key: str = PERSON, ts: str = TS, tie: str = "order_id", chunk: str = "MONTH") -> DataFrame:
+    gaps = order_gaps(orders, key, ts, tie, chunk).groupBy(key).agg(
         F.avg("days_since_last_order").alias("_mean"), F.stddev_pop("days_since_last_order").alias("_std"))
     zero = F.lit(0.0)
     return gaps.select(key, F.coalesce("_mean", zero).alias("order_frequency_days"),
@@ -246,10 +243,10 @@ def order_patterns(orders: DataFrame, key: str = PERSON, ts: str = TS, tie: str
                        flag(F.col("_std") < F.col("_mean") * 0.5).alias("has_regular_pattern"))
 
 
-def purchase_time_patterns(rows: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+def purchase_time_patterns(rows: DataFrame, key: str, ts: str, tie: str, chunk: str = "MONTH") -> DataFrame:
     """Gap mean and spread, weekend share, preferred hour and weekday (Sunday = 1)."""
     timed = rows.withColumns({"_hour": F.hour(ts), "_dow": F.dayofweek(ts)})
-    gaps = (lag_within(rows.select(key, ts, tie), key, ts, tie, "_p")
+    gaps = (lag_within(rows.select(key, ts, tie), key, ts, tie, "_p", chunk)
             .withColumn("_gap", F.datediff(F.col(ts), F.col("_p"))).groupBy(key).agg(
                 F.avg("_gap").alias("avg_days_between_orders_pattern"),
                 F.stddev_samp("_gap").alias("std_days_between_orders")))
@@ -307,14 +304,14 @@ def with_calendar(rows: DataFrame, ts: str) -> DataFrame:
     return base.join(calendar(rows, ts), "day")
 
 
-def temporal_features(rows: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+def temporal_features(rows: DataFrame, key: str, ts: str, tie: str, chunk: str = "MONTH") -> DataFrame:
     timed = with_calendar(rows.select(key, ts, tie), ts)
     stats = timed.groupBy(key).agg(
         F.avg("is_weekend").alias("weekend_order_ratio"), F.avg("order_hour").alias("avg_order_hour"),
         F.stddev_samp("order_hour").alias("order_hour_consistency"), F.avg("is_holiday").alias("holiday_order_ratio"))
     return (stats.join(most_frequent(timed, [key], "time_of_day", "preferred_time_of_day"), key)
                  .join(most_frequent(timed, [key], "order_day_of_week", "preferred_day_of_week"), key)
-                 .join(order_patterns(rows, key, ts, tie), key))
+                 .join(order_patterns(rows, key, ts, tie, chunk), key))
 
 
 # --- categories, delivery, engagement, geography, price -----------------------------------------

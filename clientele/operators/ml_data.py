@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.core import finite_or_zero, flag, one_row, ratio
-from ..functions.order_stats import global_rank, grouped_quantiles
+from ..functions.order_stats import column_quantiles, global_rank, grouped_quantiles
 from ..functions.sampling import unit_hash
 from ..functions.staging import stage
 from .features import PERSON
@@ -53,10 +53,8 @@ def scale_standard(df: DataFrame, columns: list[str], fit_on: DataFrame) -> Data
 
 def scale_robust(df: DataFrame, columns: list[str], fit_on: DataFrame) -> DataFrame:
     """(x - median) / interquartile range with the exact quantiles of ``fit_on``, all columns in one job."""
-    long = fit_on.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "name", "value")
-    q = grouped_quantiles(long, ["name"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    pick = lambda c, v: F.max(F.when(F.col("name") == c, F.col(v)))
-    stats = q.agg(*[e for c in columns for e in (pick(c, "q2").alias(f"m_{c}"), (pick(c, "q3") - pick(c, "q1")).alias(f"s_{c}"))])
+    q = column_quantiles(fit_on, columns, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    stats = q.select(*[e for c in columns for e in (F.col(f"{c}_q2").alias(f"m_{c}"), (F.col(f"{c}_q3") - F.col(f"{c}_q1")).alias(f"s_{c}"))])
     tmp = df.withColumn("_st", one_row(stats))
     z = lambda c: (F.col(c) - F.col(f"_st.m_{c}")) / F.when(F.col(f"_st.s_{c}") == 0, 1.0).otherwise(F.col(f"_st.s_{c}"))
     return tmp.withColumns({c: z(c) for c in columns}).drop("_st")

@@ -11,6 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.core import first_match, flag, one_row, ratio
+from ..functions.staging import stage
 from .relational import topk_per_group
 
 ID = "review_id"
@@ -53,8 +54,7 @@ def words(clean) -> Column:
 
 
 def tokens(clean, stop: list[str] = STOP_WORDS + DOMAIN_WORDS, longer_than: int = 2) -> Column:
-    stop_set = F.array(*[F.lit(w) for w in stop])
-    return F.filter(F.split(clean, " "), lambda t: (F.length(t) > longer_than) & ~F.array_contains(stop_set, t))
+    return F.filter(F.split(clean, " "), lambda t: (F.length(t) > longer_than) & ~t.isin(stop))
 
 
 def corpus(reviews: DataFrame, text: str = "review_comment_message") -> DataFrame:
@@ -76,10 +76,9 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, column: str = "clean_words")
 
     ``lexicon`` has ``token, polarity, subjectivity``; Spark broadcasts it if its measured size allows.
     """
-    hits = token_counts(docs, column).join(lexicon, "token")
-    n = F.sum("n")
-    per = hits.groupBy(ID).agg(F.round(ratio(F.sum(F.col("n") * F.col("polarity")), n), 8).alias("polarity"),
-                               F.round(ratio(F.sum(F.col("n") * F.col("subjectivity")), n), 8).alias("subjectivity"))
+    # words of one text come from one row, so the sums per text combine before the shuffle
+    hits = docs.select(ID, F.explode(column).alias("token")).join(lexicon, "token")
+    per = hits.groupBy(ID).agg(F.round(F.avg("polarity"), 8).alias("polarity"), F.round(F.avg("subjectivity"), 8).alias("subjectivity"))
     zero = F.lit(0.0)
     return (docs.join(per, ID, "left")
                 .withColumns({"polarity": F.coalesce("polarity", zero), "subjectivity": F.coalesce("subjectivity", zero)}))
@@ -164,10 +163,11 @@ def collocations(docs: DataFrame, column: str = "tokens", min_count: int = 10, t
     """Word pairs that occur together more often than chance: (count - min) x V / (count a x count b), where V
     counts the distinct words and neighbouring pairs."""
     c = F.col(column)
-    single = docs.select(F.explode(c).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # both count tables are read twice below and are much smaller than the texts
+    single = stage(docs.select(F.explode(c).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "words")
     neighbours = F.when(F.size(c) >= 2, F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.struct(
         F.element_at(c, i).alias("a"), F.element_at(c, i + 1).alias("b"))))
-    pairs = docs.select(F.explode(neighbours).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("pair_count"))
+    pairs = stage(docs.select(F.explode(neighbours).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("pair_count")), "pairs")
     size = (one_row(single.agg(F.count("*").alias("n"))).getField("n") + one_row(pairs.agg(F.count("*").alias("n"))).getField("n"))
     side = lambda x: single.select(F.col("token").alias(x), F.col("n").alias(f"count_{x}"))
     frequent = pairs.where(F.col("pair_count") >= min_count)
@@ -199,7 +199,8 @@ def merge_collocations(docs: DataFrame, pairs: DataFrame, column: str = "tokens"
 
 def phrase_collocations(docs: DataFrame, min_count: int = 10, threshold: float = 50.0, second_min: int = 5) -> DataFrame:
     """Second pass over merged texts: word triples and quadruples."""
-    merged = merge_collocations(docs, collocations(docs, "tokens", min_count, threshold))
+    first = stage(collocations(docs, "tokens", min_count, threshold), "first")
+    merged = stage(merge_collocations(docs, first), "merged")
     again = collocations(merged, "tokens", second_min, threshold)
     return again.where(F.contains(F.col("a"), F.lit("_")) | F.contains(F.col("b"), F.lit("_")))
 
@@ -272,7 +273,7 @@ def tfidf(docs: DataFrame, features: int = 100, min_df: int = 5, max_df: float =
     """Length-normed TF-IDF weights of the most frequent terms, as ``(review, term, tfidf)``."""
     used = docs.where(F.size("tokens") > more_than)
     terms = used.select(ID, F.concat(*[ngrams("tokens", n) for n in range(1, longest + 1)]).alias("terms"))
-    counts = token_counts(terms, "terms")
+    counts = stage(token_counts(terms, "terms"), "terms")
     n = one_row(used.agg(F.count("*").alias("n"))).getField("n")
     per = counts.groupBy("token").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
     vocab = (per.where((F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df))).orderBy(F.desc("total"), "token").limit(features)

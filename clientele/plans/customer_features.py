@@ -137,7 +137,7 @@ def _(spark, sf):
   SELECT a.*, CAST(h AS INTEGER) AS preferred_order_hour, CAST(d AS INTEGER) AS preferred_order_day
   FROM a JOIN ph ON a.user_id = ph.user_id AND ph.k = 1 JOIN pd ON a.user_id = pd.user_id AND pd.k = 1""")
 def _(spark, sf):
-    out = ft.purchase_time_patterns(Star(spark, sf).events(), "user_id", "ts", "event_id")
+    out = ft.purchase_time_patterns(Star(spark, sf).events(), "user_id", "ts", "event_id", chunk="DAY")
     return out.select("user_id", *rnd("avg_days_between_orders_pattern", "std_days_between_orders", "weekend_order_ratio"),
                       "preferred_order_hour", "preferred_order_day")
 
@@ -182,7 +182,7 @@ TEMPORAL = ["weekend_order_ratio", "avg_order_hour", "order_hour_consistency", "
 
 @REG.add("temporal_features", f"WITH t AS (SELECT user_id AS k, event_id AS i, ts FROM events), {holiday_sql()}, {TEMPORAL_SQL} SELECT * RENAME (k AS user_id) FROM temporal")
 def _(spark, sf):
-    out = ft.temporal_features(Star(spark, sf).events(), "user_id", "ts", "event_id")
+    out = ft.temporal_features(Star(spark, sf).events(), "user_id", "ts", "event_id", chunk="DAY")
     return out.select("user_id", *rnd(*TEMPORAL), "has_regular_pattern", "preferred_time_of_day", "preferred_day_of_week")
 
 

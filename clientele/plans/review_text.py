@@ -17,7 +17,8 @@ ID = tx.ID
 
 
 def docs(spark, sf):
-    return tx.corpus(Star(spark, sf).review_texts()).withColumn("clean_words", tx.words(F.col("clean_text")))
+    full = tx.corpus(Star(spark, sf).review_texts()).drop("review_comment_message")
+    return full.withColumn("clean_words", tx.words(F.col("clean_text")))
 
 
 def lexicon(table):
@@ -122,7 +123,7 @@ def colloc_sql(tag: str, source: str, low: int, threshold: float) -> str:
 
 @REG.add("collocations", TXT + colloc_sql("co", "docs", 10, 50) + f" SELECT a, b, pair_count, count_a, count_b, {r('score', 4, 'score')} FROM co")
 def _(spark, sf):
-    return tx.collocations(docs(spark, sf)).select("a", "b", "pair_count", "count_a", "count_b", *rnd("score"))
+    return tx.collocations(stage(docs(spark, sf).select(ID, "tokens"), "corpus")).select("a", "b", "pair_count", "count_a", "count_b", *rnd("score"))
 
 
 MERGED = """, px AS (SELECT review_id, unnest(range(1, len(toks) + 1)) AS pos, toks FROM docs), pl AS (SELECT review_id, pos, toks[pos] AS a, toks[pos + 1] AS b FROM px),
@@ -134,7 +135,7 @@ MERGED = """, px AS (SELECT review_id, unnest(range(1, len(toks) + 1)) AS pos, t
 
 @REG.add("collocations_trigram", TXT + colloc_sql("co", "docs", 10, 50) + MERGED + colloc_sql("tr", "md", 5, 50) + f" SELECT a, b, pair_count, {r('score', 4, 'score')} FROM tr WHERE contains(a, '_') OR contains(b, '_')")
 def _(spark, sf):
-    return tx.phrase_collocations(stage(docs(spark, sf), "corpus")).select("a", "b", "pair_count", *rnd("score"))
+    return tx.phrase_collocations(stage(docs(spark, sf).select(ID, "tokens"), "corpus")).select("a", "b", "pair_count", *rnd("score"))
 
 
 @REG.add("vocabulary", TXT + "SELECT word, frequency FROM voc")

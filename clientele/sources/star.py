@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .io import spread
+
 
 @dataclass(frozen=True)
 class Star:
@@ -72,10 +74,11 @@ class Star:
         return self.raw("events")
 
     def review_texts(self) -> DataFrame:
-        return self.raw("documents").select(
+        texts = self.raw("documents").select(
             F.col("doc_id").alias("review_id"), F.col("text").alias("review_comment_message"),
             (1 + F.pmod("doc_id", F.lit(5))).alias("review_score"),
             F.pmod("doc_id", F.lit(150)).alias("customer_unique_id"))
+        return spread(texts, "review_id")
 
     def vectors(self) -> DataFrame:
         return self.raw("embeddings")
