@@ -36,12 +36,12 @@ def _common(cls, **kw):
 
 def model_zoo(n_features: int, small: bool = False, seed: int = 42) -> dict:
     """Estimators by name. ``small`` shrinks tree counts and rounds for smoke runs."""
-    trees, rounds = (10, 5) if small else (50, 100)
+    trees, rounds, steps = (10, 5, 15) if small else (50, 100, 100)
     w = {"weightCol": WEIGHT}
     return {
-        "logistic_l2": _common(LogisticRegression, regParam=0.1, elasticNetParam=0.0, maxIter=100, **w),
-        "logistic_l1": _common(LogisticRegression, regParam=0.01, elasticNetParam=1.0, maxIter=100, **w),
-        "logistic_elastic": _common(LogisticRegression, regParam=0.05, elasticNetParam=0.7, maxIter=100, **w),
+        "logistic_l2": _common(LogisticRegression, regParam=0.1, elasticNetParam=0.0, maxIter=steps, **w),
+        "logistic_l1": _common(LogisticRegression, regParam=0.01, elasticNetParam=1.0, maxIter=steps, **w),
+        "logistic_elastic": _common(LogisticRegression, regParam=0.05, elasticNetParam=0.7, maxIter=steps, **w),
         "decision_tree": _common(DecisionTreeClassifier, maxDepth=5, minInstancesPerNode=50, seed=seed, **w),
         "random_forest": _common(RandomForestClassifier, numTrees=trees, maxDepth=5, minInstancesPerNode=50,
                                  featureSubsetStrategy="0.7", subsamplingRate=0.8, seed=seed, **w),
@@ -49,7 +49,7 @@ def model_zoo(n_features: int, small: bool = False, seed: int = 42) -> dict:
                                      featureSubsetStrategy="0.7", minInstancesPerNode=50, seed=seed, checkpointInterval=10, **w),
         "boosting_deep": _common(GBTClassifier, maxIter=rounds if small else 200, maxDepth=6, stepSize=0.1, subsamplingRate=0.9,
                                  featureSubsetStrategy="0.9", minInstancesPerNode=10, seed=seed, checkpointInterval=10, **w),
-        "linear_svm": _common(LinearSVC, regParam=0.01, maxIter=100, **w),
+        "linear_svm": _common(LinearSVC, regParam=0.01, maxIter=steps, **w),
         "neural_network": _common(MultilayerPerceptronClassifier, layers=[n_features, 100, 50, 2], maxIter=20 if small else 500, seed=seed),
     }
 

@@ -208,7 +208,7 @@ def _gram(factors: DataFrame, cols: list[str]) -> np.ndarray:
 
 def _apply(factors: DataFrame, key: str, cols: list[str], m: np.ndarray) -> DataFrame:
     mix = lambda j: sum((F.col(c) * float(m[i, j]) for i, c in enumerate(cols)), F.lit(0.0))
-    return factors.select(key, *[mix(j).alias(c) for j, c in enumerate(cols)])
+    return factors.select(key, *[mix(j).alias(f"f{j}") for j in range(m.shape[1])])
 
 
 def _rotate(factors: DataFrame, key: str, cols: list[str]) -> DataFrame:
