@@ -92,8 +92,3 @@ def lookup(c, mapping: dict, default=None) -> Column:
 def one_row(df: DataFrame) -> Column:
     """A one-row table as a scalar struct: evaluated once, no join and no driver collect."""
     return df.select(F.struct(*df.columns)).scalar()
-
-
-def with_scalars(df: DataFrame, stats: DataFrame, name: str = "_s") -> DataFrame:
-    """Attach a one-row statistics table to every row as struct column ``name``."""
-    return df.withColumn(name, one_row(stats))

@@ -6,9 +6,9 @@ this matrix in long form, whose size is bounded by the calendar and not by the c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.core import cut, first_match, month_index, month_label, one_row, ratio
+from ..functions.core import cut, month_index, month_label, one_row, ratio
 from .features import PERSON, TS
 
 CAC = 50.0

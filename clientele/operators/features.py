@@ -11,8 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.core import (at_least, at_most, cut, elapsed_days, first_match, flag, lookup, month_start,
-                              one_row, ratio)
+from ..functions.core import at_least, cut, elapsed_days, first_match, flag, month_start, one_row, ratio
 from ..functions.order_stats import grouped_quantiles, column_quantiles, lag_within, qcut_many, qcut_rank, quantiles
 
 PERSON = "customer_unique_id"

@@ -11,7 +11,6 @@ from ..functions.core import finite_or_zero, flag, one_row, ratio
 from ..functions.order_stats import column_quantiles, global_rank, grouped_quantiles
 from ..functions.sampling import unit_hash
 from ..functions.staging import stage
-from .features import PERSON
 from .relational import topk_per_group
 
 # Features of the churn models (nothing that contains the recency itself).

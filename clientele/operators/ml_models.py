@@ -14,8 +14,8 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.core import first_match, flag, one_row, ratio
 from ..functions.order_stats import average_ranks, bucket_of

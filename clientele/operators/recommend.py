@@ -14,7 +14,7 @@ from ..functions.core import one_row, ratio
 from ..functions.sampling import unit_hash
 from ..functions.staging import stage
 from .features import PERSON
-from .pairs import both_ways, cosine_pairs
+from .pairs import both_ways, cosine_pairs, nearest_members
 from .relational import semi_join_topk, topk_per_group
 
 ITEM = "product_id"
@@ -61,10 +61,8 @@ def user_cosine(ratings: DataFrame, min_similarity: float = 0.0) -> DataFrame:
     return cosine_pairs(ratings, PERSON, ITEM, min_similarity=min_similarity)
 
 
-def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most similar others per member (ties: smallest id), similarity rounded to ten decimals."""
-    ranked = both_ways(pairs.withColumn("similarity", F.round("similarity", 10)), "similarity")
-    return topk_per_group(ranked, ["member"], [F.desc("similarity"), F.asc("other")], k)
+def nearest_users(ratings: DataFrame, k: int = 10) -> DataFrame:
+    return nearest_members(ratings, PERSON, ITEM, k)
 
 
 def popular_items(items: DataFrame, products: DataFrame, n: int = 10, category: str = "product_category_name") -> DataFrame:
@@ -95,9 +93,9 @@ def with_popular_fallback(similar: DataFrame, items: DataFrame, popular: DataFra
     return a.unionByName(rows.withColumn("score", F.col("popularity_score")).withColumn("method", F.lit("popularity")).select(*cols))
 
 
-def recommend_by_neighbours(ratings: DataFrame, pairs: DataFrame, n: int = 10, k: int = 10) -> DataFrame:
+def recommend_by_neighbours(ratings: DataFrame, n: int = 10, k: int = 10) -> DataFrame:
     """Items rated by the ``k`` nearest users, scored by similarity x rating, without those already bought."""
-    near = nearest(pairs, k).select(F.col("member").alias("user"), F.col("other").alias(PERSON), "similarity")
+    near = nearest_users(ratings, k).select(F.col("member").alias("user"), F.col("other").alias(PERSON), "similarity")
     scores = (near.join(ratings.select(PERSON, ITEM, "rating"), PERSON).groupBy("user", ITEM)
                   .agg(F.round(F.sum(F.col("similarity") * F.col("rating")), 8).alias("score")))
     fresh = scores.join(ratings.select(F.col(PERSON).alias("user"), ITEM), ["user", ITEM], "left_anti")

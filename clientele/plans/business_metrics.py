@@ -9,7 +9,7 @@ from ..operators import features as ft
 from ..operators import metrics as mt
 from ..operators import relational as rel
 from ..sources.star import Star
-from .prelude import PRE, RFM_COLUMNS, base_features, days, r, rd, rnd, segmented, staged_features, value_bin
+from .prelude import PRE, base_features, days, r, rd, rnd, segmented, staged_features, value_bin
 from .registry import REG
 from .relational import CURVE
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
-from ..functions.core import flag
+from ..functions.core import flag, one_row
 from ..functions.order_stats import quantiles
 from ..functions.staging import stage
 from ..operators import features as ft
@@ -23,7 +22,6 @@ P, X = ft.PERSON, md.CHURN_FEATURES
 def labelled(spark, sf):
     """Feature table whose label is recency above the 60th percentile: both classes at every scale."""
     feats = stage(base_features(spark, sf, [P, *X, "recency_days", "frequency", "monetary_value"]), "model")
-    from ..functions.core import one_row
     edge = one_row(quantiles(feats, "recency_days", {"q": 0.6})).getField("q")
     return stage(md.sanitized(feats, X).withColumn("churned", flag(F.col("recency_days") > edge)), "model")
 
@@ -219,7 +217,7 @@ def _(spark, sf):
 
 
 @REG.add("model_cost_view", RULE_SQL + f""", b AS (SELECT count(*) AS n, sum(churned) AS g FROM lab), t AS (SELECT model, CAST(floor(g * recall + 1e-9) AS BIGINT) AS tp, CAST(floor((n - g) * (1 - precision) + 1e-9) AS BIGINT) AS fp, g FROM rr, b)
-  SELECT model, tp AS true_positives, fp AS false_positives, CAST(g - tp AS BIGINT) AS false_negatives, {r('tp * 0.4 * 200 - (tp + fp) * 30 - (g - tp) * 200', 2, 'net_benefit')} FROM t""")
+  SELECT model, tp AS true_positives, fp AS false_positives, CAST(g - tp AS BIGINT) AS false_negatives, {r('CAST(tp * 0.4 * 200 - (tp + fp) * 30 - (g - tp) * 200 AS DOUBLE)', 2, 'net_benefit')} FROM t""")
 def _(spark, sf):
     return mt.model_cost_view(rule_report(spark, sf), labelled(spark, sf)).select("model", "true_positives", "false_positives", "false_negatives", *rnd("net_benefit", digits=2))
 

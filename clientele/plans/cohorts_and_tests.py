@@ -10,7 +10,7 @@ from ..operators import experiments as ex
 from ..operators import features as ft
 from ..operators import relational as rel
 from ..sources.star import Star
-from .prelude import PRE, base_features, ncdf, r, rd, rnd
+from .prelude import PRE, base_features, ncdf, r, rnd
 from .registry import REG
 
 P = ft.PERSON

@@ -12,7 +12,7 @@ from ..operators import recommend as rc
 from ..operators import relational as rel
 from ..sources import io
 from ..sources.star import Star
-from .prelude import PRE, r, rd, rnd
+from .prelude import PRE, r, rnd
 from .registry import REG
 
 P, I = ft.PERSON, rc.ITEM
@@ -109,7 +109,7 @@ def knn_sql(ratings: str) -> str:
 @REG.add("user_recs_knn", RAT + knn_sql("im") + f" SELECT m AS user, i AS product_id, {r('score', 6, 'score')}, rank FROM rec")
 def _(spark, sf):
     ratings = implicit(spark, sf)
-    return rc.recommend_by_neighbours(ratings, rc.user_cosine(ratings)).select("user", I, *rnd("score", digits=6), "rank")
+    return rc.recommend_by_neighbours(ratings).select("user", I, *rnd("score", digits=6), "rank")
 
 
 @REG.add("anti_join_purchased", RAT + ", top AS (SELECT i FROM ln GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), c AS (SELECT DISTINCT ln.u, top.i FROM ln, top) SELECT c.u AS customer_unique_id, c.i AS product_id FROM c ANTI JOIN ln ON ln.u = c.u AND ln.i = c.i")
@@ -160,7 +160,7 @@ _knn("knn_rating_predict_centred", "pearson")
          + f" SELECT count(*) AS held_out, count(rank) AS hits, {r('count(rank) / count(*)', 6, 'hit_rate')} FROM te LEFT JOIN rec ON te.u = rec.m AND te.i = rec.i")
 def _(spark, sf):
     train, test = rc.hold_out(implicit(spark, sf))
-    recs = rc.recommend_by_neighbours(train, rc.user_cosine(train))
+    recs = rc.recommend_by_neighbours(stage(train, "train"))
     return rc.hit_rate(recs, test).select("held_out", "hits", *rnd("hit_rate", digits=6))
 
 

@@ -9,7 +9,7 @@ from ..functions.sampling import unit_hash
 from ..functions.staging import stage
 from ..operators import text as tx
 from ..sources.star import Star
-from .prelude import r, rd, rnd
+from .prelude import r, rnd
 from .recommendations import HASH
 from .registry import REG
 
