@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a private one only where none is set."""
+    """Folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a session in one JVM (``local[...]``, as in tests) gets a private folder. On a
+    cluster that would leave each executor's files on its own disk, so it raises there.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if path is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="clientele-")
         spark.sparkContext.setCheckpointDir(path)
     return path
