@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_subword, sentencepiece_bpe, token_counts, toxicity_mil
+from . import mixing_tree, quality_ledger, quality_subword, sentencepiece_bpe, token_counts, toxicity_mil, url_filters
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,16 @@ def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.score(docs, toxicity_mil.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdict of every document, by policy v2."""
+    rows = quality_ledger.apply_policy(quality_ledger.ledger(table(spark, sf_dir, "documents")), "v2")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op4_quality_ledger"] = quality_ledger.ORACLE
+
+
 @query
 def op5_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
@@ -38,6 +48,22 @@ def op5_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_subword.score(docs, quality_subword.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rules_table(spark))
+
+
+ORACLES["op6_url_filters"] = url_filters.ORACLE
+
+
+@query
+def op7_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    rows, _ = mixing_tree.taken(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ids and decoded text of every document."""
