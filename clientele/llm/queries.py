@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing_tree, quality_ledger, quality_subword, sentencepiece_bpe, token_counts, toxicity_mil, url_filters
+from . import mixing_tree, quality_ledger, quality_subword, sentencepiece_bpe, token_counts, toxicity_mil, url_filters, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,15 @@ def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.score(docs, toxicity_mil.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through the archives and back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_warc"] = warc.ORACLE
+
+
 @query
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and verdict of every document, by policy v2."""
