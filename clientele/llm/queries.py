@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing_tree, quality_ledger, quality_subword, sentencepiece_bpe, token_counts, toxicity_mil, url_filters, warc
+from . import ann_tree, mixing_tree, quality_ledger, quality_subword, sentencepiece_bpe, token_counts, toxicity_mil, url_filters, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,12 @@ def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.score(docs, toxicity_mil.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op2_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through the archives and back."""
