@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_tree, mixing_tree, quality_ledger, quality_subword, sentencepiece_bpe, token_counts, toxicity_mil, url_filters, warc
+from . import ann_tree, jaccard_join, mixing_tree, quality_ledger, quality_subword, sentencepiece_bpe, token_counts, toxicity_mil, url_filters, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,12 @@ def op8_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 5-word shingle similarity of 0.75 and more."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_jaccard_join"] = jaccard_join.ORACLE
