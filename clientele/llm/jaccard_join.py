@@ -238,6 +238,16 @@ def join(docs: DataFrame) -> DataFrame:
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, unchanged, but of each component only the one with the smallest id (null ids last, then the first row).
+
+    Rows without shingles all stay.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.monotonically_increasing_id().alias("r"))
+    kept = join(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.r").alias("_kept"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+
+
 ORACLE = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from clientele.functions.staging import stage
-from clientele.llm import quality_subword, sentencepiece_bpe, toxicity_mil
+from clientele.llm import jaccard_join, mixing_tree, quality_subword, sentencepiece_bpe, toxicity_mil
 from clientele.llm.queries import table, tokenizer_path
 
 ORACLE_SQL = None                # trained models and tokenizers are not SQL
@@ -21,11 +21,20 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_subword.keep_good(docs, model)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing_tree.mixed(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
-STAGES = [("toxicity", drop_toxic), ("quality classifier", drop_low_quality), ("SentencePiece", encode)]
+STAGES = [("toxicity", drop_toxic), ("quality classifier", drop_low_quality), ("n-gram Jaccard join", drop_near_copies),
+          ("mixing sources", mix_sources), ("SentencePiece", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
