@@ -25,7 +25,8 @@ from . import kernels as K
 MARK = "▁"
 PART = re.compile(MARK + "*[^" + MARK + "]+|" + MARK + "+")
 NONE = float("-inf")             # score of a pair that is no piece
-KEPT = 250_000                   # remembered parts per worker; one chunk of texts may come on top
+KEPT = 400_000                   # remembered parts per worker, in each of two generations; one chunk of texts may come on top
+LONG = 64                        # longer parts are not remembered
 PAIRS = 500_000                  # remembered compatibility checks per worker
 
 
@@ -54,18 +55,20 @@ class Codec:
             raise ValueError("expected byte fallback, a leading space mark and no normalisation")
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.auto = ahocorasick.Automaton()
-        for p in self.ids:
+        self.usable = {p for p in self.ids if self.merge(p) == [p]}        # pieces that merging can give at all
+        for p in self.usable:
             self.auto.add_word(p, len(p))
         self.auto.make_automaton()
-        self.shorter = {p: self._next_prefix(p) for p in self.ids}
-        self.single = {p: self.merge(p) == [p] for p in self.ids}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.shorter = {p: self._next_prefix(p) for p in self.usable}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def _next_prefix(self, piece: str) -> str | None:
         """The longest piece that is a shorter prefix of this one."""
         for k in range(len(piece) - 1, 0, -1):
-            if piece[:k] in self.ids:
+            if piece[:k] in self.usable:
                 return piece[:k]
         return None
 
@@ -88,42 +91,73 @@ class Codec:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging the text of two neighbouring tokens again leaves just these two."""
-        got = self.pairs.get((a, b))
+        row = self.pairs.get(a)
+        if row is None:
+            row = self.pairs[a] = {}
+        got = row.get(b)
         if got is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            self.n_pairs += 1
+            if self.n_pairs > PAIRS:
+                self.pairs, self.n_pairs = {a: (row := {})}, 1
+            got = row[b] = self.merge(a + b) == [a, b]
         return got
 
+    def greedy(self, part: str) -> list[str] | None:
+        """The longest match at each position, if these are compatible throughout: then no step back is needed."""
+        tokens, at, last, row = [], 0, None, None
+        for end, size in self.auto.iter_long(part):
+            if end - size + 1 != at:
+                return None
+            token = part[at:end + 1]
+            if last is not None:
+                row = self.pairs.get(last)
+                fits = None if row is None else row.get(token)
+                if not (self.compatible(last, token) if fits is None else fits):
+                    return None
+            tokens.append(token)
+            last, at = token, end + 1
+        return tokens if at == len(part) else None
+
     def backtrack(self, part: str) -> list[str]:
         """Tokens of a part; characters outside the vocabulary stand alone."""
-        n, reach = len(part), [0] * len(part)
+        tokens = self.greedy(part)
+        return self.search(part) if tokens is None else tokens
+
+    def search(self, part: str) -> list[str]:
+        """The backtracking search."""
+        n, reach, pairs, shorter = len(part), [0] * len(part), self.pairs, self.shorter
         for end, size in self.auto.iter(part):
             if size > reach[end - size + 1]:
                 reach[end - size + 1] = size
-        longest = [part[i:i + size] if size else None for i, size in enumerate(reach)]
-        failed, tokens, at = 0, [], 0
-        token = longest[0] if n else None
+        failed, tokens, at, last = 0, [], 0, None                  # last: the token before, if it is a piece
+        token = part[:reach[0]] if n and reach[0] else None
         while at < n:
-            if longest[at] is None:                                # an unknown character: nothing merges with it
+            if not reach[at]:                                      # an unknown character: nothing merges with it
                 tokens.append(part[at])
-                at += 1
-                token = longest[at] if at < n else None
+                at, last = at + 1, None
+                token = part[at:at + reach[at]] if at < n and reach[at] else None
                 continue
             while token is not None:
                 end = at + len(token)
-                if not failed >> end & 1 and self.single[token] and (not tokens or tokens[-1] not in self.ids or self.compatible(tokens[-1], token)):
-                    break
-                token = self.shorter[token]
+                if not failed >> end & 1:
+                    if last is None:
+                        break
+                    row = pairs.get(last)
+                    fits = None if row is None else row.get(token)
+                    if self.compatible(last, token) if fits is None else fits:
+                        break
+                    pairs = self.pairs
+                token = shorter[token]
             if token is not None:
                 tokens.append(token)
-                at = end
-                token = longest[at] if at < n else None
+                at, last = end, token
+                token = part[at:at + reach[at]] if at < n and reach[at] else None
             else:                                                  # no way on from here: take the last token back
                 failed |= 1 << at
-                last = tokens.pop()
-                at -= len(last)
-                token = self.shorter[last]
+                back = tokens.pop()
+                at -= len(back)
+                last = tokens[-1] if tokens and tokens[-1] in self.ids else None
+                token = shorter[back]
         return tokens
 
     def part(self, part: str) -> tuple[str, int, str]:
@@ -156,10 +190,11 @@ class Codec:
 
     def lines(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """Ids joined by commas, number of ids and decoded text of whole texts."""
-        known, out = self.known, []
-        for a, z in K.chunks([len(t) for t in texts], 2 * K.CHUNK):
-            if len(known) > KEPT:
-                known.clear()
+        out = []
+        for a, z in K.chunks([len(t) for t in texts], K.CHUNK):
+            if len(self.known) > KEPT:
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
             for t in texts[a:z]:
                 if not t:
                     out.append(("", 0, ""))
@@ -168,7 +203,9 @@ class Codec:
                 for p in PART.findall(MARK + t.replace(" ", MARK)):
                     got = known.get(p)
                     if got is None:
-                        got = known[p] = self.part(p)
+                        got = older.get(p) or self.part(p)
+                        if len(p) <= LONG:
+                            known[p] = got
                     done.append(got)
                 ids, counts, words = zip(*done)
                 text = "".join(words)
