@@ -167,7 +167,8 @@ def shards(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """``docs`` as the mix uses them: a row per use, with the text cut behind the words that this use takes.
+    """``docs`` (a table on disk: rows are numbered by their place) as the mix uses them: a row per use, with the text cut
+    behind the words that this use takes.
 
     ``n_chars``, if there, is set to the text's length. Rows that the mix takes nothing of are left out.
     """

@@ -49,7 +49,8 @@ def record(kind: str, uri: str, name: str, digest: str, payload: bytes, first: s
 def plan_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """``page_id``, ``url``, ``html``, ``row``, ``digest`` and ``first`` (page and row of the response of a revisit, else null).
 
-    Of equal payloads of ``least_bytes`` or more the smallest page id is the response (null ids come last, then the smallest
+    ``pages`` must be a table on disk: rows are numbered by their place in it, so that of rows with the same id exactly one
+    can be the response. Of equal payloads of ``least_bytes`` or more the smallest page id is the response (null ids come last, then the smallest
     row number); all others revisit it.
     """
     html = F.coalesce("html", F.lit(""))
