@@ -1,8 +1,8 @@
 """Exact quantiles, ranks and running totals without a single-task global sort.
 
-A monotone bucket number is derived from each value. Bucket sizes are pre-aggregated, prefix
-sums run over the buckets (some ten thousand rows, whatever the data size), and only the
-rows inside a bucket are ordered. Everything is deterministic: no sampling, no driver action.
+Quantiles: a monotone bucket number is derived from each value. Bucket sizes are pre-aggregated, prefix sums run over the
+buckets (some ten thousand rows, whatever the data size), and only the rows inside a bucket are ordered. Ranks and running
+totals: rows are dealt out by ranges of value and key. Results do not depend on where the bounds fall.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .core import col, first_match, one_row
+from .staging import stage
 
 _SCALE = 1000.0
 _STEPS = 1024.0
-_KEY_BUCKETS = 64
 
 
 def bucket_of(value) -> Column:
@@ -99,52 +99,30 @@ def qcut_values(df: DataFrame, value: str, q: int, out: str, labels: list | None
     return qcut_many(df, {value: (out, labels or list(range(1, q + 1)))})
 
 
-def _key_bucket(df: DataFrame, key: str) -> Column:
-    """Order-preserving coarse bucket of the tie-break key, so one hot value spreads over many tasks."""
-    if df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte"):
-        span = one_row(df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")))
-        width = F.greatest(F.lit(1), F.ceil((span.getField("hi") - span.getField("lo") + 1) / _KEY_BUCKETS))
-        return F.lpad(F.floor((F.col(key) - span.getField("lo")) / width).cast("string"), 3, "0")
-    return F.substring(F.col(key).cast("string"), 1, 2)
-
-
 def _numbered(df: DataFrame, value: str, key: str, descending: bool, totals: list[str]) -> DataFrame:
     """Adds ``_rank`` (1-based, ties by key) and, per name in ``totals``, running sums ``_cum_<name>``.
 
-    A cell is one value and one key bucket. Cell sizes are pre-aggregated; their prefix sums run inside a
-    value bucket and then over the buckets; rows are ordered only inside their cell.
+    Rows are dealt out by ranges of ``(value, key)`` whose bounds Spark samples, so a hot value is split along its keys and the
+    cells follow the number of rows. They are written before use, since the bounds differ from run to run; prefix sums run over the
+    cells' totals, and rows are ordered only inside their cell.
     """
-    base = (df.withColumn("_b", bucket_of(value) * (-1 if descending else 1))
-              .withColumn("_kb", _key_bucket(df, key)))
     by_value = F.col(value).desc() if descending else F.col(value).asc()
-    measures = [F.count("*").alias("_n"), *[F.sum(t).alias(f"_s_{t}") for t in totals]]
+    held = stage(df.repartitionByRange(by_value, F.col(key).asc()).withColumn("_cell", F.spark_partition_id()), "ranked")
+    before = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)           # a row per cell
+    sizes = held.groupBy("_cell").agg(F.count("*").alias("_n"), *[F.sum(t).alias(f"_s_{t}") for t in totals])
     names = ["_n", *[f"_s_{t}" for t in totals]]
-    cells = base.groupBy("_b", value, "_kb").agg(*measures)
-    before = W.partitionBy("_b").orderBy(by_value, "_kb").rowsBetween(W.unboundedPreceding, -1)
-    over_b = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    zero = F.lit(0)
-    starts = (cells.groupBy("_b").agg(*[F.sum(m).alias(f"_t{m}") for m in names])
-                   .select("_b", *[F.coalesce(F.sum(f"_t{m}").over(over_b), zero).alias(f"_start{m}") for m in names]))
-    offsets = (cells.select("_b", value, "_kb",
-                            *[F.coalesce(F.sum(m).over(before), zero).alias(f"_in{m}") for m in names])
-                    .join(starts, "_b")
-                    .select(value, "_kb", *[(F.col(f"_in{m}") + F.col(f"_start{m}")).alias(f"_off{m}") for m in names]))
-    cell = W.partitionBy(value, "_kb").orderBy(F.col(key).asc())
+    starts = sizes.select("_cell", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_off{m}") for m in names])
+    cell = W.partitionBy("_cell").orderBy(by_value, F.col(key).asc())
     upto = cell.rowsBetween(W.unboundedPreceding, 0)
-    ranked = base.withColumn("_rn", F.row_number().over(cell))
+    ranked = held.withColumn("_rn", F.row_number().over(cell))
     for t in totals:
         ranked = ranked.withColumn(f"_run_{t}", F.sum(t).over(upto))
-    joined = ranked.join(offsets, [value, "_kb"])
     cums = [(F.col(f"_run_{t}") + F.col(f"_off_s_{t}")).alias(f"_cum_{t}") for t in totals]
-    return joined.select(*[joined[c] for c in df.columns], (F.col("_rn") + F.col("_off_n")).cast("long").alias("_rank"), *cums)
+    return ranked.join(starts, "_cell").select(*df.columns, (F.col("_rn") + F.col("_off_n")).cast("long").alias("_rank"), *cums)
 
 
 def global_rank(df: DataFrame, value: str, key: str, out: str = "rank", descending: bool = False) -> DataFrame:
-    """Exact 1-based rank of every row; ties broken by ascending ``key``; rows with a NULL value drop out.
-
-    ``df`` must be repeatable (a source or a staged table): it is read once for the bucket sizes and
-    once for the rows.
-    """
+    """Exact 1-based rank of every row; ties broken by ascending ``key``; rows with a NULL value drop out."""
     return _numbered(df.where(col(value).isNotNull()), value, key, descending, []).withColumnRenamed("_rank", out)
 
 

@@ -46,6 +46,12 @@ def cohort_matrix_from_features(customers: DataFrame) -> DataFrame:
     return _with_share(cells, ["cohort_month"])
 
 
+def all_periods(base: DataFrame) -> list[int]:
+    """Every month number from 0 to the last one in the table (a number of columns, bounded by the calendar)."""
+    last = base.agg(F.max("cohort_index")).first()[0]
+    return list(range((last or 0) + 1))
+
+
 def wide(matrix: DataFrame, periods: list[int], value: str = "retention") -> DataFrame:
     """Cohorts as rows, months as columns ``m0``, ``m1`` ..."""
     cells = [F.max(F.when(F.col("cohort_index") == p, F.col(value))).alias(f"m{p}") for p in periods]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.core import flag, one_row, ratio
 from ..functions.order_stats import average_ranks, grouped_quantiles
+from ..functions.sampling import unit_hash_52
 from ..functions.probability import normal_cdf, normal_quantile, two_sided_p
 from .relational import winsor_filter
 
@@ -104,13 +105,21 @@ def mann_whitney(users: DataFrame, value: str = "revenue") -> DataFrame:
                        F.least(F.lit(1.0), two_sided_p(F.greatest(z, F.lit(0.0)))).alias("p_value"))
 
 
-def poisson_weight(unit: Column, cap: int = 12) -> Column:
+def poisson_steps() -> list[float]:
+    """Distribution function of Poisson(1) at 0, 1, ... as far as doubles below 1 reach."""
+    steps, total = [], 0.0
+    while True:
+        now = total + math.exp(-1) / math.factorial(len(steps))
+        if now == total or now >= 1.0:
+            return steps
+        steps.append(now)
+        total = now
+
+
+def poisson_weight(unit: Column) -> Column:
     """Poisson(1) draw from a uniform number by its distribution function."""
-    total, out = 0.0, None
-    for k in range(cap):
-        total += math.exp(-1) / math.factorial(k)
-        out = F.when(unit < total, k) if out is None else out.when(unit < total, k)
-    return out.otherwise(cap)
+    steps = poisson_steps()
+    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= unit))
 
 
 def bootstrap_ci(users: DataFrame, key: str, value: str = "revenue", replicates: int = 1000) -> DataFrame:
@@ -118,8 +127,7 @@ def bootstrap_ci(users: DataFrame, key: str, value: str = "revenue", replicates:
     from a hash of both, so replicates are reproducible and only sums per replicate are shuffled."""
     clean = winsor_filter(users.select(key, "variant", value), "variant", value)
     draws = clean.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    unit = F.pmod(F.xxhash64(F.col(key), F.col("rep")), F.lit(1 << 30)) / float(1 << 30)
-    weighted = draws.withColumn("w", poisson_weight(unit))
+    weighted = draws.withColumn("w", poisson_weight(unit_hash_52(F.col(key), F.col("rep"))))
     mean = lambda arm: ratio(_arm(F.sum, F.col("w") * F.col(value), arm), _arm(F.sum, F.col("w"), arm))
     diffs = weighted.groupBy("rep").agg((mean(TREATMENT) - mean(CONTROL)).alias("diff"))
     # one row per replicate: small by construction

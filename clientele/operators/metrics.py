@@ -281,9 +281,9 @@ def intervention_roi(customers: DataFrame, risk: str, budget: float = 10000.0, c
     reached = running_share(customers.select(PERSON, risk, MONEY), risk, PERSON).where(F.col("rank") <= reach)
     mean_value = one_row(customers.agg(F.avg(MONEY).alias("m"))).getField("m")
     out = reached.agg(F.count("*").alias("targeted"), F.min(risk).alias("lowest_risk"), F.sum(MONEY).alias("revenue_targeted"))
-    out = out.withColumn("saved", F.floor(F.lit(reach) * F.lit(success)).cast("long"))
-    out = out.withColumn("revenue_saved", F.col("saved") * mean_value)
-    return out.withColumn("roi", (F.col("revenue_saved") - budget) / F.lit(budget))
+    out = out.withColumn("saved", F.floor(F.col("targeted") * F.lit(success) + 1e-9).cast("long"))
+    out = out.withColumns({"revenue_saved": F.col("saved") * mean_value, "spent": F.col("targeted") * F.lit(cost)})
+    return out.withColumn("roi", ratio(F.col("revenue_saved") - F.col("spent"), "spent"))
 
 
 def model_cost_view(scores: DataFrame, customers: DataFrame, value: float = 200.0, cost: float = 30.0, kept: float = 0.4) -> DataFrame:

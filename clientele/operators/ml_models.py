@@ -34,23 +34,22 @@ def _common(cls, **kw):
     return cls(labelCol=LABEL, featuresCol=FEATURES, **kw)
 
 
-def model_zoo(n_features: int, small: bool = False, seed: int = 42) -> dict:
-    """Estimators by name. ``small`` shrinks tree counts and rounds for smoke runs."""
-    trees, rounds, steps = (10, 5, 15) if small else (50, 100, 100)
+def model_zoo(n_features: int, seed: int = 42) -> dict:
+    """Estimators by name."""
     w = {"weightCol": WEIGHT}
     return {
-        "logistic_l2": _common(LogisticRegression, regParam=0.1, elasticNetParam=0.0, maxIter=steps, **w),
-        "logistic_l1": _common(LogisticRegression, regParam=0.01, elasticNetParam=1.0, maxIter=steps, **w),
-        "logistic_elastic": _common(LogisticRegression, regParam=0.05, elasticNetParam=0.7, maxIter=steps, **w),
+        "logistic_l2": _common(LogisticRegression, regParam=0.1, elasticNetParam=0.0, maxIter=100, **w),
+        "logistic_l1": _common(LogisticRegression, regParam=0.01, elasticNetParam=1.0, maxIter=100, **w),
+        "logistic_elastic": _common(LogisticRegression, regParam=0.05, elasticNetParam=0.7, maxIter=100, **w),
         "decision_tree": _common(DecisionTreeClassifier, maxDepth=5, minInstancesPerNode=50, seed=seed, **w),
-        "random_forest": _common(RandomForestClassifier, numTrees=trees, maxDepth=5, minInstancesPerNode=50,
+        "random_forest": _common(RandomForestClassifier, numTrees=50, maxDepth=5, minInstancesPerNode=50,
                                  featureSubsetStrategy="0.7", subsamplingRate=0.8, seed=seed, **w),
-        "gradient_boosting": _common(GBTClassifier, maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.8,
+        "gradient_boosting": _common(GBTClassifier, maxIter=100, maxDepth=4, stepSize=0.1, subsamplingRate=0.8,
                                      featureSubsetStrategy="0.7", minInstancesPerNode=50, seed=seed, checkpointInterval=10, **w),
-        "boosting_deep": _common(GBTClassifier, maxIter=rounds if small else 200, maxDepth=6, stepSize=0.1, subsamplingRate=0.9,
+        "boosting_deep": _common(GBTClassifier, maxIter=200, maxDepth=6, stepSize=0.1, subsamplingRate=0.9,
                                  featureSubsetStrategy="0.9", minInstancesPerNode=10, seed=seed, checkpointInterval=10, **w),
-        "linear_svm": _common(LinearSVC, regParam=0.01, maxIter=steps, **w),
-        "neural_network": _common(MultilayerPerceptronClassifier, layers=[n_features, 100, 50, 2], maxIter=20 if small else 500, seed=seed),
+        "linear_svm": _common(LinearSVC, regParam=0.01, maxIter=100, **w),
+        "neural_network": _common(MultilayerPerceptronClassifier, layers=[n_features, 100, 50, 2], maxIter=500, seed=seed),
     }
 
 
@@ -111,11 +110,13 @@ def roc_points(scores: DataFrame) -> DataFrame:
 
 # --- training runs ------------------------------------------------------------------------------------
 
-def train_report(train: DataFrame, test: DataFrame, models: dict, key: str) -> DataFrame:
-    """Fit each model on ``train`` and report its test metrics."""
+def train_report(train: DataFrame, test: DataFrame, models: dict, key: str, scores: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Fit each model on ``train`` and report its test metrics; ``scores`` receives the written scores of each."""
     parts = []
     for name, est in models.items():
         out = stage(scored(est.fit(train), test, key), "scores")
+        if scores is not None:
+            scores[name] = out
         parts.append(eval_binary(out).select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1", "roc_auc"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -205,9 +206,13 @@ def permutation_importance(model, df: DataFrame, columns: list[str], key: str, s
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc("importance"), "feature")
 
 
-def calibrate_isotonic(scores: DataFrame) -> DataFrame:
-    """Calibrated probability per row. Equal scores are merged first, with their count as weight."""
-    merged = scores.groupBy("score").agg(F.avg(LABEL).alias("rate"), F.count("*").cast("double").alias("w"))
+def calibrate_isotonic(held_out: DataFrame, scores: DataFrame, width: float = 1e-4) -> DataFrame:
+    """Calibrated probability of every row of ``scores``, fitted on the labels of ``held_out``.
+
+    Scores are rounded to ``width`` before the fit, so the fit pools at most ``1 / width`` rows whatever the input.
+    """
+    binned = held_out.withColumn("score", F.round(F.col("score") / F.lit(width)) * F.lit(width))
+    merged = binned.groupBy("score").agg(F.avg(LABEL).alias("rate"), F.count("*").cast("double").alias("w"))
     model = IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="w", predictionCol="calibrated").fit(merged)
     return model.transform(scores)
 

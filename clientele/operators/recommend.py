@@ -5,6 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -15,7 +18,7 @@ from ..functions.sampling import unit_hash
 from ..functions.staging import stage
 from .features import PERSON
 from .pairs import both_ways, cosine_pairs, nearest_members
-from .relational import semi_join_topk, topk_per_group
+from .relational import topk_per_group
 
 ITEM = "product_id"
 
@@ -26,12 +29,6 @@ def purchases(orders: DataFrame, items: DataFrame) -> DataFrame:
     return items.select("order_id", ITEM, "price").join(orders.select("order_id", PERSON), "order_id")
 
 
-def active_subset(lines: DataFrame, users: int = 20000, items: int = 5000) -> DataFrame:
-    """Lines of the most active users that concern the most popular items (both ranked on all lines)."""
-    top_items = lines.groupBy(ITEM).agg(F.count("*").alias("n")).orderBy(F.desc("n"), ITEM).limit(items)
-    return semi_join_topk(lines, PERSON, users).join(top_items, ITEM, "left_semi")
-
-
 def implicit_ratings(lines: DataFrame) -> DataFrame:
     """0.7 x purchases + 1.5 x mean price relative to the highest mean price."""
     pairs = lines.groupBy(PERSON, ITEM).agg(F.count("*").alias("purchase_count"),
@@ -175,45 +172,58 @@ def truncated_svd(ratings: DataFrame, rank: int = 50, rounds: int = 8, seed: int
     only small square matrices visit the driver, to keep the columns orthonormal. ``extra`` more columns
     than wanted speed up convergence and are cut at the end.
     """
-    cells = stage(ratings.select(PERSON, ITEM, "rating"), "svd")
+    cells = stage(ratings.select(PERSON, ITEM, F.col("rating").cast("double").alias("rating")), "svd")
     width = min(rank + extra, cells.select(ITEM).distinct().count(), cells.select(PERSON).distinct().count())
-    cols = [f"f{i}" for i in range(width)]
-    draw = [(unit_hash(F.col(ITEM), i, seed) - 0.5).alias(c) for i, c in enumerate(cols)]
-    items = _rotate(cells.select(ITEM).distinct().select(ITEM, *draw), ITEM, cols)
+    draw = F.array(*[unit_hash(F.col(ITEM), i, seed) - 0.5 for i in range(width)])
+    items = _rotate(cells.select(ITEM).distinct().select(ITEM, draw.alias("v")), ITEM, width)
     for _ in range(rounds):
-        users = _spread(cells, items, ITEM, PERSON, cols)
-        items = _rotate(_spread(cells, users, PERSON, ITEM, cols), ITEM, cols)
-    users = stage(_spread(cells, items, ITEM, PERSON, cols), "svd")
-    power, turn = np.linalg.eigh(_gram(users, cols))
+        users = _spread(cells, items, ITEM, PERSON)
+        items = _rotate(_spread(cells, users, PERSON, ITEM), ITEM, width)
+    users = stage(_spread(cells, items, ITEM, PERSON), "svd")
+    power, turn = np.linalg.eigh(_gram(users, width))
     order = np.argsort(power)[::-1][:rank]
     turn, values = turn[:, order], np.sqrt(np.maximum(power[order], 0.0))
     names = ratings.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "component int, singular_value double")
-    return _apply(users, PERSON, cols, turn), _apply(items, ITEM, cols, turn), names
+    wide = lambda d, key: d.select(key, *[F.col("v")[j].alias(f"f{j}") for j in range(len(order))])
+    return wide(_apply(users, PERSON, turn), PERSON), wide(_apply(items, ITEM, turn), ITEM), names
+
+
+def _spread(cells: DataFrame, factors: DataFrame, source: str, target: str) -> DataFrame:
+    """Rating-weighted sums of the factor vectors of all partners."""
+    scaled = cells.join(factors, source).select(target, array_to_vector(F.transform("v", lambda x: x * F.col("rating"))).alias("v"))
+    return scaled.groupBy(target).agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("v"))
 
 
-def _spread(cells: DataFrame, factors: DataFrame, source: str, target: str, cols: list[str]) -> DataFrame:
-    return cells.join(factors, source).groupBy(target).agg(*[F.sum(F.col("rating") * F.col(c)).alias(c) for c in cols])
+def _gram(factors: DataFrame, k: int) -> np.ndarray:
+    """Gram matrix, from one small matrix per part of the table."""
+    def part(frames):
+        total = np.zeros((k, k))
+        for f in frames:
+            x = np.array(f["v"].tolist()).reshape(-1, k)
+            total += x.T @ x
+        yield pd.DataFrame({"cell": np.arange(k * k), "v": total.ravel()})
 
+    sums = factors.select("v").mapInPandas(part, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()   # k * k rows
+    out = np.zeros(k * k)
+    for r in sums:
+        out[r["cell"]] = r["v"]
+    return out.reshape(k, k)
 
-def _gram(factors: DataFrame, cols: list[str]) -> np.ndarray:
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = factors.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).first()
-    out = np.zeros((len(cols), len(cols)))
-    for (i, j), v in zip(pairs, row):
-        out[i, j] = out[j, i] = v
-    return out
 
+def _apply(factors: DataFrame, key: str, m: np.ndarray) -> DataFrame:
+    """Every factor vector times a small matrix."""
+    def turned(frames):
+        for f in frames:
+            yield pd.DataFrame({key: f[key], "v": list(np.array(f["v"].tolist()).reshape(-1, len(m)) @ m)})
 
-def _apply(factors: DataFrame, key: str, cols: list[str], m: np.ndarray) -> DataFrame:
-    mix = lambda j: sum((F.col(c) * float(m[i, j]) for i, c in enumerate(cols)), F.lit(0.0))
-    return factors.select(key, *[mix(j).alias(f"f{j}") for j in range(m.shape[1])])
+    return factors.select(key, "v").mapInPandas(turned, factors.select(key, "v").schema)
 
 
-def _rotate(factors: DataFrame, key: str, cols: list[str]) -> DataFrame:
+def _rotate(factors: DataFrame, key: str, k: int) -> DataFrame:
     """Orthonormal columns: divide by the Cholesky factor of the Gram matrix."""
     held = stage(factors, "svd")
-    scale = np.linalg.cholesky(_gram(held, cols) + 1e-12 * np.eye(len(cols)))
-    return _apply(held, key, cols, np.linalg.inv(scale).T)
+    scale = np.linalg.cholesky(_gram(held, k) + 1e-12 * np.eye(k))
+    return _apply(held, key, np.linalg.inv(scale).T)
 
 
 def dense_codes(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -274,14 +284,14 @@ def compare_factor_models(coded: DataFrame, folds: int = 5, seed: int = 42, grid
         rows.append((name, scores["rmse"], scores["mae"]))
 
     try:
-        cv("svd", als_model(grid["rank"][0], 0.1, iterations=iterations))
+        cv("als", als_model(grid["rank"][0], 0.1, iterations=iterations))
         cv("nmf", als_model(grid["rank"][0], 0.1, True, iterations))
         als = als_model(iterations=iterations)
         params = ParamGridBuilder()
         for p, vals in grid.items():
             params = params.addGrid(getattr(als, p), vals)
         tuned = CrossValidator(estimator=als, estimatorParamMaps=params.build(), evaluator=evaluators["rmse"], numFolds=3, seed=seed, parallelism=2).fit(data)
-        cv("svd_tuned", als_model(tuned.bestModel.rank, tuned.bestModel._java_obj.parent().getRegParam(), iterations=iterations))
+        cv("als_tuned", als_model(tuned.bestModel.rank, tuned.bestModel._java_obj.parent().getRegParam(), iterations=iterations))
     finally:
         data.unpersist()
     return spark.createDataFrame(rows, "model string, rmse double, mae double").orderBy("rmse")

@@ -208,8 +208,9 @@ def phrase_collocations(docs: DataFrame, min_count: int = 10, threshold: float =
 # --- vectors ------------------------------------------------------------------------------------------
 
 def word_vectors(docs: DataFrame, size: int = 100, window: int = 5, min_count: int = 5, rounds: int = 10,
-                 parts: int = 8, seed: int = 42):
-    """Fitted skip-gram model."""
+                 seed: int = 42):
+    """Fitted skip-gram model; it trains in as many parts as the table has."""
+    parts = docs.rdd.getNumPartitions()
     return Word2Vec(inputCol="tokens", outputCol="vector", vectorSize=size, windowSize=window, minCount=min_count,
                     maxIter=rounds, numPartitions=parts, seed=seed, maxSentenceLength=1000).fit(docs)
 

@@ -235,7 +235,8 @@ def _(spark, sf):
 
 
 @REG.add("intervention_roi", PRE + f""", k AS (SELECT recency_days, monetary_value, row_number() OVER (ORDER BY recency_days DESC, customer_unique_id) AS k FROM feat), t AS (SELECT count(*) AS targeted, min(recency_days) AS lowest_risk, round(sum(monetary_value), 2) AS revenue_targeted FROM k WHERE k <= 333)
-  SELECT *, CAST(133 AS BIGINT) AS saved, {r('133 * (SELECT avg(monetary_value) FROM feat)', 2, 'revenue_saved')}, {r('(133 * (SELECT avg(monetary_value) FROM feat) - 10000) / 10000', 4, 'roi')} FROM t""")
+  , s AS (SELECT *, CAST(floor(targeted * 0.4 + 1e-9) AS BIGINT) AS saved, (SELECT avg(monetary_value) FROM feat) AS v FROM t)
+  SELECT targeted, lowest_risk, revenue_targeted, saved, {r('saved * v', 2, 'revenue_saved')}, {r('(saved * v - targeted * 30.0) / (targeted * 30.0)', 4, 'roi')} FROM s""")
 def _(spark, sf):
     out = mt.intervention_roi(staged_features(spark, sf, [P, "recency_days", "monetary_value"]), "recency_days")
     return out.select("targeted", "lowest_risk", F.round("revenue_targeted", 2).alias("revenue_targeted"), "saved", *rnd("revenue_saved", digits=2), *rnd("roi"))

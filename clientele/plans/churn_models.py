@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.core import flag, one_row
 from ..functions.order_stats import quantiles
@@ -19,6 +21,10 @@ from .registry import REG
 P, X = ft.PERSON, md.CHURN_FEATURES
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def labelled(spark, sf):
     """Feature table whose label is recency above the 60th percentile: both classes at every scale."""
     feats = stage(base_features(spark, sf, [P, *X, "recency_days", "frequency", "monetary_value"]), "model")
@@ -89,28 +95,53 @@ def _(spark, sf):
     return out.select(P, *[rd(c, digits=3 if "_x_" in c else 5) for c in names])
 
 
-@REG.add("smote")
+# Trained models and random draws have no SQL twin. Their queries return facts that must hold and can fail, next to numbers that SQL
+# can count; 1 means that the fact holds.
+
+@REG.add("smote", LAB + """, r AS (SELECT CAST(churned = 1 AND frequency <= 8 AS INTEGER) AS y FROM lab), k AS (SELECT sum(y) AS p, count(*) - sum(y) AS n FROM r)
+  SELECT CAST(greatest(0, floor(n * 0.6) - p) AS BIGINT) AS n_new, 1 AS from_minority, 1 AS between_parents FROM k""")
 def _(spark, sf):
     data = labelled(spark, sf)
-    rare = data.withColumn("churned", flag((F.col("churned") == 1) & (F.col("frequency") <= 8)))
-    return md.smote(md.scale_standard(rare, SCALED, rare), P, "churned", SCALED)
+    rare = stage(md.scale_standard(data.withColumn("churned", flag((F.col("churned") == 1) & (F.col("frequency") <= 8))), SCALED, data), "rare")
+    made = stage(md.smote(rare, P, "churned", SCALED), "smote")
+    ends = lambda side: rare.where("churned = 1").select(F.col(P).alias(f"{side}_key"), *[F.col(c).alias(f"{side}_{c}") for c in SCALED])
+    both = made.join(ends("from"), "from_key", "left").join(ends("to"), "to_key", "left")
+    inside = lambda c: F.col(c).between(F.least(f"from_{c}", f"to_{c}") - 1e-9, F.greatest(f"from_{c}", f"to_{c}") + 1e-9)
+    held = inside(SCALED[0]) & inside(SCALED[1]) & inside(SCALED[2]) & (F.col("from_key") != F.col("to_key"))
+    return both.agg(F.count("*").alias("n_new"), F.min(flag(F.col(f"from_{SCALED[0]}").isNotNull() & F.col(f"to_{SCALED[0]}").isNotNull())).alias("from_minority"),
+                    F.min(flag(held)).alias("between_parents"))
 
 
-@REG.add("feature_selection")
+@REG.add("feature_selection", f"SELECT * FROM (VALUES ('anova', {min(50, len(X))}, {min(50, len(X))}), ('forest', 10, 10)) t(method, n, n_known)")
 def _(spark, sf):
     train, _ = split(spark, sf)
-    top, kept = mm.select_features(train, X, top=10, best=6, trees=10)
-    rows = [("forest", i + 1, c) for i, c in enumerate(top)] + [("anova", i + 1, c) for i, c in enumerate(kept)]
-    return spark.createDataFrame(rows, "method string, position int, feature string")
+    top, kept = mm.select_features(train, X)
+    rows = [("forest", len(set(top)), len(set(top) & set(X))), ("anova", len(set(kept)), len(set(kept) & set(X)))]
+    return spark.createDataFrame(rows, "method string, n int, n_known int")
+
+
+def score_facts(out, name: str, accuracy):
+    """Facts on written scores of the test rows; ``accuracy`` is what the operator reported."""
+    auc = one_row(mm.eval_binary(out)).getField("roc_auc")
+    plain = F.avg(flag(F.col("churned") == F.col("prediction")))
+    sums = out.agg(F.count("*").alias("n_test"), F.sum("churned").cast("long").alias("n_gone"), F.countDistinct(P).alias("_k"), plain.alias("_a"))
+    return sums.select(F.lit(name).alias("model"), "n_test", "n_gone", flag(F.col("_k") == F.col("n_test")).alias("one_score_each"),
+                       flag(F.abs(F.col("_a") - accuracy) < 1e-9).alias("accuracy_agrees"), flag(auc > 0.55).alias("better_than_chance"))
+
+
+def facts_sql(names: list[str]) -> str:
+    rows = ", ".join(f"('{n}')" for n in names)
+    return LAB + f", t AS (SELECT count(*) AS n_test, CAST(sum(churned) AS BIGINT) AS n_gone FROM lab WHERE is_test = 1) SELECT model, n_test, n_gone, 1 AS one_score_each, 1 AS accuracy_agrees, 1 AS better_than_chance FROM t, (VALUES {rows}) m(model)"
 
 
 def _train(name: str, models: list[str]) -> None:
-    @REG.add(name)
+    @REG.add(name, facts_sql(models))
     def _(spark, sf):
         train, test = split(spark, sf)
-        zoo = mm.model_zoo(len(X), small=True)
+        zoo, kept = mm.model_zoo(len(X)), {}
         ready = lambda d: mm.assemble(md.scale_standard(d, X, train), X)
-        return mm.train_report(ready(train), ready(test), {m: zoo[m] for m in models}, P)
+        report = stage(mm.train_report(ready(train), ready(test), {m: zoo[m] for m in models}, P, kept), "report")
+        return union([score_facts(kept[m], m, one_row(report.where(F.col("model") == m).select("accuracy")).getField("accuracy")) for m in models])
 
 
 _train("train_logreg", ["logistic_l2", "logistic_l1", "logistic_elastic"])
@@ -120,27 +151,32 @@ _train("train_mlp", ["neural_network"])
 _train("train_svm", ["linear_svm"])
 
 
-@REG.add("ensemble_vote")
+@REG.add("ensemble_vote", facts_sql(["hard", "soft"]))
 def _(spark, sf):
     train, test = split(spark, sf)
-    zoo = mm.model_zoo(len(X), small=True)
-    tr, te = mm.assemble(train, X), mm.assemble(test, X)
-    parts = [stage(mm.scored(zoo[m].fit(tr), te, P), "vote") for m in ("logistic_l2", "decision_tree", "random_forest")]
-    kinds = [mm.eval_binary(stage(mm.ensemble_vote(parts, P, soft), "vote")).withColumn("vote", F.lit("soft" if soft else "hard")) for soft in (True, False)]
-    return kinds[0].unionByName(kinds[1]).select("vote", "accuracy", "precision", "recall", "f1", "roc_auc")
+    zoo, kept = mm.model_zoo(len(X)), {}
+    names = ("logistic_l2", "logistic_l1", "decision_tree", "random_forest")
+    ready = lambda d: mm.assemble(d, X)
+    report = mm.train_report(ready(train), ready(test), {m: zoo[m] for m in names}, P, kept)
+    best = [r["model"] for r in mm.best_models(report).collect()]          # three names
+    votes = {kind: stage(mm.ensemble_vote([kept[m] for m in best], P, kind == "soft"), "vote") for kind in ("hard", "soft")}
+    return union([score_facts(v, kind, one_row(mm.eval_binary(v)).getField("accuracy")) for kind, v in votes.items()])
 
 
-@REG.add("tune")
+@REG.add("tune", "SELECT 12 AS n_settings, 1 AS best_first, 1 AS better_than_chance")
 def _(spark, sf):
-    data = mm.assemble(md.stratified_folds(labelled(spark, sf), P, "churned", 2), X).cache()
-    return mm.tune(data, {"maxDepth": [2, 3, 4], "maxIter": [3, 5], "stepSize": [0.1, 0.3]}, samples=3, folds=2)
+    data = mm.assemble(stage(md.stratified_folds(labelled(spark, sf), P, "churned", 3), "tune"), X)
+    found = [r["auc"] for r in mm.tune(data, {"maxDepth": [2, 3, 4], "maxIter": [3, 5], "stepSize": [0.1, 0.3]}, folds=3).collect()]   # a row per setting
+    return spark.createDataFrame([(len(found), int(found == sorted(found, reverse=True)), int(0.55 < found[0] <= 1))], "n_settings int, best_first int, better_than_chance int")
 
 
-@REG.add("cv_report")
+@REG.add("cv_report", "SELECT *, 1 AS gap_agrees, 1 AS better_than_chance FROM (VALUES ('decision_tree'), ('logistic_l2')) t(model)")
 def _(spark, sf):
-    data = md.with_class_weights(md.stratified_folds(labelled(spark, sf), P, "churned", 2), "churned")
-    zoo = mm.model_zoo(len(X), small=True)
-    return mm.cv_report(stage(data, "cv").transform(lambda d: mm.assemble(d, X)), {m: zoo[m] for m in ("logistic_l2", "decision_tree")}, P, folds=2)
+    data = md.with_class_weights(md.stratified_folds(labelled(spark, sf), P, "churned", 5), "churned")
+    zoo = mm.model_zoo(len(X))
+    out = mm.cv_report(stage(data, "cv").transform(lambda d: mm.assemble(d, X)), {m: zoo[m] for m in ("logistic_l2", "decision_tree")}, P)
+    gap = F.abs(F.col("cv_train_accuracy") - F.col("cv_val_accuracy") - F.col("cv_overfit_gap"))
+    return out.select("model", flag((gap < 1e-9) & F.col("cv_train_accuracy").between(0, 1)).alias("gap_agrees"), flag(F.col("cv_val_roc_auc") > 0.55).alias("better_than_chance"))
 
 
 METRIC_SQL = f""", c AS (SELECT count(*) AS n, count(CASE WHEN churned = 1 AND prediction = 1 THEN 1 END) AS tp, count(CASE WHEN churned = 0 AND prediction = 1 THEN 1 END) AS fp, count(CASE WHEN churned = 1 AND prediction = 0 THEN 1 END) AS fn, count(CASE WHEN churned = 0 AND prediction = 0 THEN 1 END) AS tn FROM sp),
@@ -167,26 +203,41 @@ def _(spark, sf):
     return mm.class_report(rule_scores(spark, sf)).select("class", "support", *rnd("precision", "recall", "f1", digits=6))
 
 
-@REG.add("calibrate_isotonic")
+@REG.add("calibrate_isotonic", LAB + "SELECT count(DISTINCT score) AS n_scores, 1 AS rising, 1 AS mean_kept FROM sp")
 def _(spark, sf):
-    out = mm.calibrate_isotonic(stage(rule_scores(spark, sf), "scores"))
-    return out.groupBy("score").agg(F.first("calibrated").alias("calibrated"), F.avg("churned").alias("observed"))
+    scores = stage(rule_scores(spark, sf).join(md.stratified_split(labelled(spark, sf), P, "churned").select(P, "is_test"), P), "scores")
+    held_out = scores.where("is_test = 1")
+    out = stage(mm.calibrate_isotonic(held_out, scores), "calibrated")
+    per = out.groupBy("score").agg(F.min("calibrated").alias("lo"), F.max("calibrated").alias("hi"))
+    steps = per.withColumn("before", F.max("hi").over(W.partitionBy(F.floor(F.col("score") * 10)).orderBy("score").rowsBetween(W.unboundedPreceding, -1)))
+    mean = one_row(out.where("is_test = 1").agg((F.abs(F.avg("calibrated") - F.avg("churned")) < 1e-6).alias("ok"))).getField("ok")
+    return steps.agg(F.count("*").alias("n_scores"), F.min(flag((F.col("lo") == F.col("hi")) & (F.coalesce("before", "lo") <= F.col("lo") + 1e-12))).alias("rising"),
+                     F.min(flag(mean)).alias("mean_kept"))
+
+
+IMPORTANT = f"SELECT {len(X)} AS n_features, 1 AS sums_up, 1 AS best_first"
+
+
+def importance_facts(spark, found: list, total: float | None):
+    """A row per feature comes in: how many there are, whether they add up to ``total`` (or are all positive somewhere), and their order."""
+    values = [r["importance"] for r in found]
+    whole = abs(sum(values) - total) < 1e-6 if total is not None else min(values) >= 0 and max(values) > 0
+    return spark.createDataFrame([(len({r["feature"] for r in found} & set(X)), int(whole), int(values == sorted(values, reverse=True)))], "n_features int, sums_up int, best_first int")
 
 
-@REG.add("feature_importance")
+@REG.add("feature_importance", IMPORTANT)
 def _(spark, sf):
     train, _ = split(spark, sf)
     data = mm.assemble(train, X)
-    model = RandomForestClassifier(labelCol="churned", featuresCol="features", numTrees=10, maxDepth=4, seed=42).fit(data)
-    return mm.importance_table(data, X, model.featureImportances)
+    model = RandomForestClassifier(labelCol="churned", featuresCol="features", numTrees=50, maxDepth=5, seed=42).fit(data)
+    return importance_facts(spark, mm.importance_table(data, X, model.featureImportances).collect(), 1.0)
 
 
-@REG.add("permutation_importance")
+@REG.add("permutation_importance", IMPORTANT)
 def _(spark, sf):
     train, test = split(spark, sf)
-    cols = X[:5]
-    model = LogisticRegression(labelCol="churned", featuresCol="features", regParam=0.1).fit(mm.assemble(train, cols))
-    return mm.permutation_importance(model, test, cols, P)
+    model = LogisticRegression(labelCol="churned", featuresCol="features", regParam=0.1).fit(mm.assemble(train, X))
+    return importance_facts(spark, mm.permutation_importance(model, test, X, P).collect(), None)
 
 
 RULES = {"gap_over_120": 120, "gap_over_170": 170, "gap_over_250": 250}
@@ -228,15 +279,19 @@ def _(spark, sf):
     return mm.result_checks(rep).select("model", "verdict", "auc_in_range")
 
 
-@REG.add("batch_score")
+@REG.add("batch_score", LAB + "SELECT count(*) AS n_scored, 1 AS are_probabilities, 1 AS decided_at_half FROM lab WHERE is_test = 1")
 def _(spark, sf):
-    data = labelled(spark, sf).withColumns({c: F.col(c).cast("double") for c in X})
+    train, test = (d.withColumns({c: F.col(c).cast("double") for c in X}) for d in split(spark, sf))
     est = LogisticRegression(labelCol="churned", featuresCol="features", regParam=0.1)
-    model = mm.scoring_pipeline(X, est).fit(data)
-    return mm.batch_score(model, data, P)
+    out = mm.batch_score(mm.scoring_pipeline(X, est).fit(train), test, P)
+    p = F.col("churn_probability")
+    return out.agg(F.count("*").alias("n_scored"), F.min(flag(p.between(0, 1))).alias("are_probabilities"), F.min(flag(flag(p > 0.5) == F.col("will_churn"))).alias("decided_at_half"))
 
 
-@REG.add("kmeans_segments")
+@REG.add("kmeans_segments", LAB + "SELECT 5 AS n_clusters, count(*) AS n_members, 1 AS means_agree FROM lab")
 def _(spark, sf):
     data = labelled(spark, sf)
-    return mm.kmeans_segments(data, ["frequency", "monetary_value", "customer_lifetime_days"], 5)[1]
+    profile = mm.kmeans_segments(data, ["frequency", "monetary_value", "customer_lifetime_days"], 5)[1]
+    mean = one_row(data.agg(F.avg("frequency").alias("m"))).getField("m")
+    return profile.agg(F.count("*").cast("int").alias("n_clusters"), F.sum("members").alias("n_members"), F.sum(F.col("members") * F.col("frequency")).alias("_s")).select(
+        "n_clusters", "n_members", flag(F.abs(F.col("_s") / F.col("n_members") - mean) < 0.01).alias("means_agree"))

@@ -17,7 +17,7 @@ P = ft.PERSON
 
 
 def base(spark, sf):
-    """Orders with their item value. Staged: most cohort reports read it more than once."""
+    """Orders with their item value."""
     s = Star(spark, sf)
     lines = s.items().groupBy("order_id").agg(F.round(F.sum("price"), 2).alias("items_value"))
     orders = s.orders().select("order_id", P, ft.TS).join(lines, "order_id").join(s.customers().select(P, "customer_state"), P)
@@ -73,9 +73,10 @@ def _(spark, sf):
     return co.cohort_matrix_from_features(feats).select("cohort_month", "cohort_index", "value", *rnd("retention"))
 
 
-@REG.add("cohort_retention_wide", COH + "SELECT cohort_month, " + ", ".join(r(f"max(CASE WHEN cohort_index = {i} THEN retention END)", 4, f"m{i}") for i in range(13)) + " FROM ret GROUP BY 1")
+@REG.add("cohort_retention_wide", COH + f", wl AS (SELECT cohort_month, 'm' || cohort_index AS m, {r('retention', 4, 'v')} FROM ret) PIVOT wl ON m USING max(v) GROUP BY cohort_month")
 def _(spark, sf):
-    return co.wide(co.cohort_matrix(base(spark, sf)), list(range(13))).select("cohort_month", *rnd(*[f"m{i}" for i in range(13)]))
+    periods = co.all_periods(base(spark, sf))
+    return co.wide(co.cohort_matrix(base(spark, sf)), periods).select("cohort_month", *rnd(*[f"m{i}" for i in periods]))
 
 
 @REG.add("cohort_quality", COH + f"""SELECT cohort_month, cohort_size, total_orders, total_revenue, cohort_age, {r('total_revenue / total_orders', 3, 'avg_order_value')}, {r('opc', 4, 'orders_per_customer')}, {r('rpc', 3, 'revenue_per_customer')}, {r('retention_3m', 4, 'retention_3m')}, {r('quality_score', 6, 'quality_score')},
@@ -197,9 +198,17 @@ def _(spark, sf):
     return ex.mann_whitney(ab_users(spark, sf)).select("n_treatment", "n_control", "u_statistic", *rnd("p_value", digits=6))
 
 
-@REG.add("ab_bootstrap_ci")
+U52 = "(CAST('0x' || substr(md5(user_id || '|' || rep), 1, 13) AS BIGINT) / 4503599627370496.0)"
+DIFF = " - ".join(f"sum(CASE WHEN variant = '{a}' THEN w * revenue END) / sum(CASE WHEN variant = '{a}' THEN w END)" for a in ("treatment", "control"))
+
+
+@REG.add("ab_bootstrap_ci", AB + f""", q AS (SELECT variant, quantile_cont(revenue, 0.01) AS lo, quantile_cont(revenue, 0.99) AS hi FROM u GROUP BY 1),
+  dr AS (SELECT variant, revenue, CAST(rep AS INTEGER) AS rep, user_id FROM u JOIN q USING (variant), range(1, 1001) t(rep) WHERE revenue > lo AND revenue < hi),
+  dw AS (SELECT variant, revenue, rep, len(list_filter({ex.poisson_steps()}, lambda s: s <= {U52})) AS w FROM dr),
+  df AS (SELECT rep, {DIFF} AS diff FROM dw GROUP BY 1)
+  SELECT {r('quantile_cont(diff, 0.025)', 6, 'ci_low')}, {r('quantile_cont(diff, 0.975)', 6, 'ci_high')}, {r('avg(diff)', 6, 'mean_difference')}, count(diff) AS replicates FROM df""")
 def _(spark, sf):
-    return ex.bootstrap_ci(stage(ab_users(spark, sf), "users"), "user_id")
+    return ex.bootstrap_ci(stage(ab_users(spark, sf), "users"), "user_id").select(*rnd("ci_low", "ci_high", "mean_difference", digits=6), "replicates")
 
 
 def _sequential(spending: str, spent: str) -> None:

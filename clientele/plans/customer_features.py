@@ -285,10 +285,10 @@ def _(spark, sf):
                       "state_customer_count", "price_sensitivity", *rnd("median_price"))
 
 
-@REG.add("feature_summary", PRE + f"SELECT count(*) AS total_customers, {r('avg(churned)', 6, 'churn_rate')}, 27 AS n_features FROM feat")
+@REG.add("feature_summary", PRE + f"SELECT count(*) AS total_customers, {r('avg(churned)', 6, 'churn_rate')} FROM feat")
 def _(spark, sf):
     out = ft.feature_summary(base_features(spark, sf))
-    return out.select("total_customers", *rnd("churn_rate", digits=6), "n_features")
+    return out.select("total_customers", *rnd("churn_rate", digits=6))
 
 
 SCREENED = ["total_orders", "total_revenue", "avg_order_value", "order_value_std", "customer_lifetime_days",

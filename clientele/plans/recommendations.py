@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.core import flag
 from ..functions.staging import stage, staging_path
 from ..operators import features as ft
 from ..operators import graphs as gr
@@ -64,11 +65,6 @@ def _(spark, sf):
     return rc.explicit_ratings(lines(spark, sf), s.reviews()).select(P, I, *rnd("rating", digits=5))
 
 
-@REG.add("active_subset", RAT + ", tu AS (SELECT u FROM ln GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 200), ti AS (SELECT i FROM ln GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 300) SELECT u AS customer_unique_id, i AS product_id, count(*) AS n FROM ln WHERE u IN (SELECT u FROM tu) AND i IN (SELECT i FROM ti) GROUP BY 1, 2")
-def _(spark, sf):
-    return rc.active_subset(lines(spark, sf), 200, 300).groupBy(P, I).agg(F.count("*").alias("n"))
-
-
 @REG.add("item_cosine", RAT + cos_sql("c", "im", "i", "u", 0.1) + f" SELECT a, b, {r('similarity', 6, 'similarity')} FROM c")
 def _(spark, sf):
     return rc.item_cosine(implicit(spark, sf), 0.1).select("a", "b", *rnd("similarity", digits=6))
@@ -164,21 +160,34 @@ def _(spark, sf):
     return rc.hit_rate(recs, test).select("held_out", "hits", *rnd("hit_rate", digits=6))
 
 
-@REG.add("svd_factors")
+# Facts on trained factors, as in churn_models: 1 means that the fact holds.
+
+@REG.add("svd_factors", "SELECT 50 AS n_components, 1 AS falling, 1 AS norms_agree, 1 AS within_total")
 def _(spark, sf):
-    return rc.truncated_svd(implicit(spark, sf), rank=8, rounds=4)[2].select("component", *rnd("singular_value"))
+    ratings = stage(implicit(spark, sf), "ratings")
+    users, _, values = rc.truncated_svd(ratings, rank=50)
+    norms = users.agg(*[F.sqrt(F.sum(F.col(f"f{i}") ** 2)).alias(f"n{i}") for i in range(50)]).first()       # one row
+    found = [r["singular_value"] for r in values.orderBy("component").collect()]                             # 50 rows
+    total = ratings.agg(F.sum(F.col("rating") ** 2)).first()[0]
+    agree = all(abs(norms[i] - v) <= 1e-6 * found[0] for i, v in enumerate(found))
+    return spark.createDataFrame([(len(found), int(found == sorted(found, reverse=True)), int(agree), int(sum(v * v for v in found) <= total * (1 + 1e-9)))],
+                                 "n_components int, falling int, norms_agree int, within_total int")
 
 
-@REG.add("user_recs_mf")
+@REG.add("user_recs_mf", RAT + "SELECT u AS customer_unique_id, 10 AS n_items, 1 AS unbought, 1 AS ranks_whole FROM im GROUP BY 1")
 def _(spark, sf):
     coded = stage(rc.coded_ratings(implicit(spark, sf)), "coded")
-    return rc.recommend_by_factors(coded, rc.als_model(rank=10, iterations=5).fit(coded), 10)
+    recs = rc.recommend_by_factors(coded, rc.als_model().fit(coded), 10)
+    bought = coded.select(P, I, F.lit(1).alias("b"))
+    return recs.join(bought, [P, I], "left").groupBy(P).agg(F.countDistinct(I).cast("int").alias("n_items"), F.min(flag(F.col("b").isNull())).alias("unbought"),
+                                                             flag((F.min("rank") == 1) & (F.max("rank") == F.count("*"))).alias("ranks_whole"))
 
 
-@REG.add("als_train_eval")
+@REG.add("als_train_eval", "SELECT *, 1 AS mae_below_rmse FROM (VALUES ('als'), ('als_tuned'), ('nmf')) t(model)")
 def _(spark, sf):
     coded = stage(rc.coded_ratings(explicit(spark, sf)), "coded")
-    return rc.compare_factor_models(coded, folds=2, iterations=3, grid={"rank": [5], "regParam": [0.1, 0.3]})
+    out = rc.compare_factor_models(coded, folds=2, iterations=3, grid={"rank": [5], "regParam": [0.1, 0.3]})
+    return out.select("model", flag((F.col("mae") <= F.col("rmse")) & (F.col("rmse") > 0) & (F.col("rmse") < 5)).alias("mae_below_rmse"))
 
 
 # --- networks ---------------------------------------------------------------------------------------
@@ -209,9 +218,14 @@ def _(spark, sf):
     return gr.degrees(pr.co_occurrence(branded(spark, sf), member="product_brand", min_weight=60))
 
 
-@REG.add("graph_communities")
+@REG.add("graph_communities", PAIRS.replace(" LIMIT 20", "").replace("GROUP BY 1, 2 ORDER BY", "GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 2 ORDER BY") + " SELECT a AS node, 0 AS could_do_better FROM (SELECT a FROM tp UNION SELECT b FROM tp)")
 def _(spark, sf):
-    return gr.communities(pr.co_occurrence(Star(spark, sf).items(), min_weight=2))
+    edges = stage(pr.co_occurrence(Star(spark, sf).items(), min_weight=2), "edges")
+    found = gr.communities(edges)
+    votes = pr.both_ways(edges, "weight").join(found.select(F.col("node").alias("other"), "community"), "other").groupBy(F.col("member").alias("node"), "community").agg(F.sum("weight").alias("w"))
+    own = votes.join(found, ["node", "community"]).select("node", F.col("w").alias("held"))
+    best = votes.groupBy("node").agg(F.max("w").alias("best"))
+    return found.join(best, "node").join(own, "node", "left").select("node", flag(F.col("best") > F.coalesce("held", F.lit(0))).alias("could_do_better"))
 
 
 @REG.add("customer_similarity_edges", RAT + ", act AS (SELECT u FROM ex GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100), sub AS (SELECT * FROM ex SEMI JOIN act USING (u))" + cos_sql("c", "sub", "u", "i", 0.05) + f" SELECT a, b, {r('similarity', 6, 'weight')} FROM c WHERE similarity > 0.05")
@@ -234,7 +248,7 @@ def _(spark, sf):
     return gr.with_categories(pr.top_pairs(s.items()), s.products())
 
 
-@REG.add("cross_category_pairs", PAIRS + " SELECT a, b, weight, pa.category AS category_a, pb.category AS category_b FROM tp LEFT JOIN prod pa ON a = pa.product_id LEFT JOIN prod pb ON b = pb.product_id WHERE pa.category <> pb.category ORDER BY weight DESC, a, b LIMIT 10")
+@REG.add("cross_category_pairs", PAIRS.replace(" ORDER BY 3 DESC, 1, 2 LIMIT 20", "") + " SELECT a, b, weight, pa.category AS category_a, pb.category AS category_b FROM tp LEFT JOIN prod pa ON a = pa.product_id LEFT JOIN prod pb ON b = pb.product_id WHERE pa.category <> pb.category ORDER BY weight DESC, a, b LIMIT 10")
 def _(spark, sf):
     s = Star(spark, sf)
-    return gr.cross_category(gr.with_categories(pr.top_pairs(s.items()), s.products()), 10)
+    return pr.top_pairs(s.items(), 10, wanted=gr.across_categories(s.products()))

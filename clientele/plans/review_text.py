@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.core import flag, one_row
 from ..functions.sampling import unit_hash
 from ..functions.staging import stage
 from ..operators import text as tx
@@ -144,12 +145,15 @@ def _(spark, sf):
 
 
 def trained(spark, sf):
-    return tx.word_vectors(docs(spark, sf).select(ID, "tokens"), size=16, rounds=1)
+    return tx.word_vectors(stage(docs(spark, sf).select(ID, "tokens"), "tokens"))
 
 
-@REG.add("word2vec")
+# Facts on trained vectors and topics, as in churn_models: 1 means that the fact holds.
+
+@REG.add("word2vec", TXT + "SELECT word, 1 AS whole FROM voc")
 def _(spark, sf):
-    return trained(spark, sf).getVectors().select("word", vector_to_array("vector").alias("vector"))
+    v = trained(spark, sf).getVectors().select("word", vector_to_array("vector").alias("v"))
+    return v.select("word", flag((F.size("v") == 100) & F.forall("v", lambda x: ~F.isnan(x)) & F.exists("v", lambda x: x != 0)).alias("whole"))
 
 
 DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
@@ -180,10 +184,13 @@ def _(spark, sf):
     return tx.similarity_matrix(centres.select("label", vector_to_array("m").alias("v")), "label", "v").select("a", "b", *rnd("similarity", digits=5))
 
 
-@REG.add("doc_embedding")
+@REG.add("doc_embedding", TXT + ", tw AS (SELECT review_id, unnest(toks) AS word FROM docs) SELECT review_id, CAST(count(voc.word) > 0 AS INTEGER) AS has_embedding, 1 AS mean_agrees FROM docs LEFT JOIN tw USING (review_id) LEFT JOIN voc USING (word) GROUP BY 1")
 def _(spark, sf):
-    t = docs(spark, sf).select(ID, "tokens")
-    return tx.doc_embeddings(t, trained(spark, sf).getVectors(), 16).select(ID, "embedding_norm", "has_embedding")
+    t = stage(docs(spark, sf).select(ID, "tokens"), "tokens")
+    vectors = stage(trained(spark, sf).getVectors(), "vectors")
+    first = t.select(ID, F.explode("tokens").alias("word")).join(vectors.select("word", vector_to_array("vector")[0].alias("x")), "word").groupBy(ID).agg(F.avg("x").alias("x"))
+    out = tx.doc_embeddings(t, vectors, 100).join(first, ID, "left")
+    return out.select(ID, "has_embedding", flag(F.abs(F.col("embedding")[0] - F.coalesce("x", F.lit(0.0))) < 1e-6).alias("mean_agrees"))
 
 
 @REG.add("tfidf", TXT + f""", us AS (SELECT review_id, toks FROM docs WHERE len(toks) > 3), gm AS (SELECT review_id, unnest(toks) AS term FROM us UNION ALL SELECT review_id, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) FROM us),
@@ -194,15 +201,21 @@ def _(spark, sf):
     return tx.tfidf(stage(docs(spark, sf).select(ID, "tokens"), "corpus")).select(ID, "term", *rnd("tfidf", digits=6))
 
 
-@REG.add("lda_topics")
+@REG.add("lda_topics", "SELECT CAST(t AS INTEGER) AS topic, 10 AS n_words, 1 AS falling, 1 AS mixes_whole FROM range(10) r(t)")
 def _(spark, sf):
-    return tx.lda_topics(stage(docs(spark, sf).select(ID, "tokens"), "corpus"), topics=5, rounds=3)[0]
+    words, mixes = tx.lda_topics(stage(docs(spark, sf).select(ID, "tokens"), "corpus"))
+    total = F.aggregate("topics", F.lit(0.0), lambda s, x: s + x)              # 0 for a text without any of the terms
+    whole = one_row(mixes.agg(F.min(flag((F.abs(total - 1) < 1e-6) | (total == 0))).alias("ok"))).getField("ok")
+    order = F.sort_array(F.collect_list(F.struct("rank", "weight")))
+    falling = lambda a: F.forall(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.get(a, i)["weight"] <= F.get(a, i - 1)["weight"])
+    return words.groupBy("topic").agg(F.countDistinct("word").cast("int").alias("n_words"), order.alias("a")).select("topic", "n_words", flag(falling(F.col("a"))).alias("falling"), whole.alias("mixes_whole"))
 
 
-@REG.add("embedding_clusters")
+@REG.add("embedding_clusters", "SELECT count(*) AS n_vectors, 10 AS n_clusters, 1 AS uncorrelated, 1 AS first_is_wider FROM embeddings")
 def _(spark, sf):
-    out = tx.embedding_clusters(Star(spark, sf).vectors(), 10, "vec_id", "embedding")
-    return out.groupBy("cluster").agg(F.count("*").alias("members"), F.round(F.avg("x"), 4).alias("x"), F.round(F.avg("y"), 4).alias("y"))
+    out = stage(tx.embedding_clusters(Star(spark, sf).vectors(), 10, "vec_id", "embedding"), "clusters")
+    return out.agg(F.count("*").alias("n_vectors"), F.countDistinct("cluster").cast("int").alias("n_clusters"), flag(F.abs(F.corr("x", "y")) < 1e-6).alias("uncorrelated"),
+                   flag(F.var_samp("x") >= F.var_samp("y")).alias("first_is_wider"))
 
 
 def covered(table, counted):

@@ -12,11 +12,16 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headed CSV with a declared schema. Columns are matched by position, so a byte-order mark in
-    the header does no harm."""
+    """Headed CSV with a declared schema. Columns are matched by name, whatever their order in the file; a byte-order
+    mark in the header does no harm. A missing column raises; columns outside the schema are not read."""
+    names = [c.lstrip("\ufeff").strip() for c in spark.read.option("header", True).csv(path).columns]
+    known = {f.name: f for f in schema}
+    if missing := sorted(set(known) - set(names)):
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    in_file = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names])
     return (spark.read.option("header", True).option("enforceSchema", True)
             .option("timestampFormat", TIMESTAMP_FORMAT).option("multiLine", False)
-            .schema(schema).csv(path))
+            .schema(in_file).csv(path).select(*schema.fieldNames()))
 
 
 def scan_reviews_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
