@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample; every vector is filed in one of its leaves. A query walks the tree best bin first: a
 priority queue holds the nodes seen so far by the inner product of query and centre, and the best one is opened next. How many
 leaves are visited is calibrated: a bounded set of queries is answered exactly, and the visits are widened until the wanted
-part of the true neighbours lies in the visited leaves. Leaves and their queries meet in cells of bounded size.
+part of the true neighbours lies in the visited leaves. Leaves and their queries meet in cells of bounded size; the first leaf
+gives each query a score that what it finds in the others must reach.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from clientele.functions.staging import stage
 @dataclass(frozen=True)
 class Plan:
     k: int = 20
-    recall: float = 0.97             # wanted on the calibration queries
+    recall: float = 0.95             # wanted on the calibration queries
     sample: int = 20_000             # vectors that the tree is fitted on, at most
     sample_numbers: int = 4_000_000  # numbers in these vectors, at most
     leaf_rows: int = 256             # wanted rows of a leaf, as far as the sample allows so many leaves
@@ -172,30 +173,38 @@ def search(vectors: DataFrame, is_query: Column, plan: Plan = Plan(), id_column:
                 found = [held.value.visit(s, visits) for s in scores]
                 size = [len(x) for x in found]
                 yield pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), size), "q": np.repeat(part["q"].to_numpy(), size),
-                                    "leaf": np.concatenate([np.asarray(x, np.int64) for x in found])})
+                                    "leaf": np.concatenate([np.asarray(x, np.int64) for x in found]), "place": np.concatenate([np.arange(n, dtype=np.int32) for n in size])})
 
-    walks = stage(queries.mapInPandas(walk, f"query_id long, q {kind}, leaf long"), "ann-walks")
+    walks = stage(queries.mapInPandas(walk, f"query_id long, q {kind}, leaf long, place int"), "ann-walks")
+    top = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= plan.k)
+    first = stage(top(_meet(filed, walks.where("place = 0").withColumn("least", F.lit(float("-inf"))), plan)).drop("rank"), "ann-first")
+    least = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == plan.k).drop("n")
+    rest = walks.where("place > 0").join(least, "query_id", "left").fillna(float("-inf"), ["least"])
+    return top(_meet(filed, rest, plan).unionByName(first)).select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(filed: DataFrame, walks: DataFrame, plan: Plan) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score``: of each cell of a leaf a query's best rows that reach its ``least``."""
     cut = lambda c, most: F.ceil(F.count(F.lit(1)) / F.lit(most)).alias(c)
     cells = filed.groupBy("leaf").agg(cut("blocks", plan.block_rows)).join(walks.groupBy("leaf").agg(cut("chunks", plan.block_queries)), "leaf")
     cells = stage(cells, "ann-cells")                              # a row per leaf
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = filed.join(cells, "leaf").select("leaf", part("vec_id", "blocks").alias("block"), every("chunks").alias("chunk"), "vec_id", "v")
-    right = walks.join(cells, "leaf").select("leaf", every("blocks").alias("block"), part("query_id", "chunks").alias("chunk"), "query_id", "q")
+    right = walks.join(cells, "leaf").select("leaf", every("blocks").alias("block"), part("query_id", "chunks").alias("chunk"), "query_id", "q", "least")
     k = plan.k
 
     def meet(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        ids, vx, vi, out = q["query_id"].to_numpy(), matrix(x["v"]), x["vec_id"].to_numpy(), []
+        ids, least, vx, vi, out = q["query_id"].to_numpy(), q["least"].to_numpy(), matrix(x["v"]), x["vec_id"].to_numpy(), []
         for a in range(0, len(q), 512):
             i, near, score = best(matrix(q["q"].iloc[a:a + 512]), ids[a:a + 512], vx, vi, k)
-            out.append(pd.DataFrame({"query_id": ids[a:a + 512][i], "vec_id": near, "score": score}))
+            kept = score >= least[a:a + 512][i]
+            out.append(pd.DataFrame({"query_id": ids[a:a + 512][i[kept]], "vec_id": near[kept], "score": score[kept]}))
         return pd.concat(out)
 
-    met = left.groupBy("leaf", "block", "chunk").cogroup(right.groupBy("leaf", "block", "chunk")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("leaf", "block", "chunk").cogroup(right.groupBy("leaf", "block", "chunk")).applyInPandas(meet, "query_id long, vec_id long, score double")
 
 
 def _calibrate(filed: DataFrame, probes: pd.DataFrame, tree: Tree, plan: Plan) -> int:
