@@ -6,13 +6,17 @@ neighbour lives there. Two kinds of pivots take turns:
 * At the root, whole documents are useless as pivots: almost all are at distance 1 from almost all others, so no ball
   separates anything. The pivots there are the one-shingle sets. A document is nearest to the pivots that it holds, of which
   the first in a global order (rare ones first) gives its Voronoi region. A set at distance 1/4 or less lacks at most a quarter
-  of the document's shingles, so copies in the regions of its first quarter are enough to meet every neighbour.
-* Inside a region documents are the pivots. Distances to a pivot are exact. Members within 1/4 are linked to it and need no
-  comparison with each other; the others go on to the next round with new pivots, twice as many. A linked member stays with
-  them only while its distances to all pivots lie within 1/4 of the range of theirs. The recursion ends when nobody is left.
+  of the document's shingles, so copies in the regions of its first quarter are enough to meet every neighbour. Shingles that
+  nobody else has make regions of one, which are not written.
+* Inside a region documents are the pivots, the most central first. Distances to a pivot are exact. Members of one component
+  need no comparison with each other, so a region ends when one component is left. Else its largest component is the inside,
+  and pivots, twice as many in each round, come from the others. An inner member stays for them only while its distances to
+  all pivots lie within 1/4 of the range of theirs. Pairs that share too few of the shingles still to come are not compared:
+  if they are linked, they meet in an earlier region.
 
 Equal sets are one class from the start, so copies are never compared. Before any region is made, documents that share too few
 of the shingles in a prefix (three tenths, by hash) with any other document at all are dropped: none can be their neighbour.
+What is left is a small part, of which all shingles are counted.
 """
 
 from __future__ import annotations
@@ -44,14 +48,14 @@ def linked(inter, n, m):
     return 100 * inter >= 75 * (n + m - inter)
 
 
-def close(n: Column, m: Column) -> Column:
-    """Whether sets of these sizes can be linked."""
-    return 100 * F.least(n, m) >= 75 * F.greatest(n, m)
+def enough(common: Column, n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can be linked if they share at most ``common`` shingles."""
+    return 175 * common >= 75 * (n + m)
 
 
 def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    for a, z in K.chunks([len(t) for t in texts]):
+    for a, z in K.chunks([len(t) for t in texts], K.CHUNK // 4):
         raw = [t.encode().lower() for t in texts[a:z]]             # bytes: A-Z only
         data = np.frombuffer(b"\n" + b"\n".join(raw), np.uint8)
         bounds = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
@@ -83,7 +87,7 @@ def _documents(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             sets = list(shingle_sets(K.texts_of(batch)))
             h, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
             often = count >= max(4, len(sets) // HEAVY_SHARE)
@@ -97,7 +101,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, schema: str, make) -> DataFrame:
     """One call of ``make`` per batch with the names and sets of its classes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             classes = {}
             for s in shingle_sets(K.texts_of(batch)):
                 if len(s):
@@ -138,22 +142,53 @@ def _wanted(docs: DataFrame, names: DataFrame) -> DataFrame:
     return stage(rows.groupBy("c").agg(F.first("s").alias("s")), "jaccard-sets")
 
 
-def _regions(docs: DataFrame, classes: DataFrame, heavy: DataFrame) -> DataFrame:
-    """``h``, ``c``, ``n``: the root regions that each class is copied into."""
-    found = heavy.orderBy(F.desc("k"), "h").limit(HEAVY_MOST).toPandas()          # bounded
-    known = docs.sparkSession.createDataFrame(found, "h long, often long")
-    rows = _prefixes(docs).join(F.broadcast(known), "h", "left")                   # HEAVY_MOST rows at most
+def _heavy(docs: DataFrame, heavy: DataFrame) -> DataFrame:
+    found = heavy.orderBy(F.desc("k"), "h").limit(HEAVY_MOST).toPandas()           # bounded
+    return docs.sparkSession.createDataFrame(found, "h long, often long")
+
+
+def _shared(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows ``c``, ``h`` whose shingle another class has too, with ``k``, in how many rows it is found."""
+    rows = rows.join(F.broadcast(known), "h", "left")                              # HEAVY_MOST rows at most
     w = Window.partitionBy("h", F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("c"), F.lit(SALTS))))   # heavy ones are known to be shared
     rows = rows.select("c", "h", F.coalesce("often", F.count(F.lit(1)).over(w)).alias("k"), (F.col("often").isNotNull() | (F.min("c").over(w) != F.max("c").over(w))).alias("shared"))
-    flagged = rows.where("shared").groupBy("c").agg(F.sort_array(F.collect_set(F.struct("k", "h"))).alias("f"))
-    least = F.greatest(F.lit(1).cast("long"), F.floor(3 * F.col("n") / 80)).cast("int")
-    kept = flagged.join(classes.select("c", "n"), "c").where(F.size("f") >= least)
-    rows = kept.select("c", "n", F.explode(F.slice("f", F.lit(1), F.size("f") - least + 1)).alias("x"))
-    return stage(rows.select(F.col("x.h").alias("h"), "c", "n"), "jaccard-regions")
+    return rows.where("shared").drop("shared")
+
+
+def _candidates(docs: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+    """Classes that share enough of their prefix with others to have a neighbour at all (copies may let a few more pass)."""
+    found = _shared(_prefixes(docs), known).groupBy("c").agg(F.count(F.lit(1)).alias("f"))
+    least = F.greatest(F.lit(1).cast("long"), F.floor(3 * F.col("n") / 80))
+    return stage(found.join(classes, "c").where(F.col("f") >= least).select("c"), "jaccard-candidates")
+
+
+def _regions(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """The root regions ``h`` that each candidate is copied into, with its size ``n``, the number ``r`` of its shared shingles
+    from ``h`` on in the order of rarity, and how central it is (``z``: how common its shingles are).
+
+    A candidate needs three quarters of its shingles shared. In the order of rarity, what it holds beyond these and one more
+    are its regions.
+    """
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches):
+            own = [np.frombuffer(s, np.int64) for s in batch.column("s").to_pylist()]
+            size = [len(s) for s in own]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("c").to_numpy(), size)), pa.array(np.concatenate(own))], ["c", "h"])
+
+    flagged = _shared(sets.mapInArrow(spread, "c long, h long"), known).groupBy("c").agg(F.sort_array(F.collect_set(F.struct("k", "h"))).alias("f"))
+    n = F.floor(F.octet_length("s") / 8)
+    least = F.ceil(3 * n / 4).cast("int")
+    kept = flagged.join(sets.select("c", n.alias("n"), least.alias("least")), "c").where(F.size("f") >= F.col("least"))
+    z = F.aggregate("f", F.lit(0.0), lambda t, x: t + F.log2(x["k"].cast("double"))) / F.col("n")
+    rows = kept.select("c", "n", z.alias("z"), F.size("f").alias("size"), F.posexplode(F.slice("f", F.lit(1), F.size("f") - F.col("least") + 1)).alias("i", "x"))
+    rows = stage(rows.select(F.col("x.h").alias("h"), "c", "n", (F.col("size") - F.col("i")).cast("long").alias("r"), "z"), "jaccard-regions")
+    least_n = rows.groupBy("h").agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    return rows.join(least_n, "h").where(enough(F.col("r"), F.col("n"), F.col("low"))).drop("low")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``c``, ``p``, ``inter`` of pairs ``c``, ``p``: the pivot's set is sent once for every ``PAIRS`` members."""
+    """``c``, ``p``, ``inter``, ``linked`` of pairs ``c``, ``p``: the pivot's set is sent once for every ``PAIRS`` members."""
     parts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIRS)).alias("parts"))
     members = pairs.join(parts, "p").select("c", "p", F.pmod(F.xxhash64("c"), "parts").alias("part"), F.lit(1).alias("role"))
     pivots = parts.select(F.col("p").alias("c"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
@@ -161,7 +196,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivot = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in K.slices(batches):
             out = []
             for p, part, role, c, s in zip(*(batch.column(k).to_pylist() for k in ("p", "part", "role", "c", "s"))):
                 own = np.frombuffer(s, np.uint64)
@@ -169,55 +204,74 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     now, pivot = (p, part), own
                 elif now == (p, part):
                     at = np.searchsorted(pivot, own)
-                    out.append((c, p, int((pivot[np.minimum(at, len(pivot) - 1)] == own).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["c", "p", "inter"])
+                    inter = int((pivot[np.minimum(at, len(pivot) - 1)] == own).sum())
+                    out.append((c, p, inter, int(linked(inter, len(own), len(pivot)))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], ["c", "p", "inter", "linked"])
+
+    return rows.repartition("p", "part").sortWithinPartitions("p", "part", "role").mapInArrow(run, "c long, p long, inter long, linked long")
+
+
+def _label(labels: DataFrame | None, dist: DataFrame) -> DataFrame:
+    """``node``, ``root``: what is known of components so far. A class without a label takes that of a pivot it is linked with.
+
+    Classes with one label are connected, but connected classes may have several labels: that costs comparisons, no links.
+    """
+    found = dist.where("linked = 1").join(dist.select(F.col("p").alias("c")).distinct(), "c", "left_anti").groupBy("c").agg(F.min("p").alias("p"))
+    if labels is None:
+        return stage(found.select(F.col("c").alias("node"), F.col("p").alias("root")), "jaccard-labels")
+    fresh = found.join(labels.select(F.col("node").alias("c")), "c", "left_anti").join(labels.withColumnRenamed("node", "p"), "p", "left")
+    return stage(labels.unionByName(fresh.select(F.col("c").alias("node"), F.coalesce("root", "p").alias("root"))), "jaccard-labels")
+
 
-    return rows.repartition("p", "part").sortWithinPartitions("p", "part", "role").mapInArrow(run, "c long, p long, inter long")
+def _open(state: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The regions in which documents of several components are left, with each member's component and whether it lies outside
+    (``u``) the region's main one; as long as all are alone, all lie outside."""
+    if roots is None:
+        return state.withColumns({"comp": F.col("c"), "u": F.lit(True)})
+    state = state.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
+    per = state.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+    return state.join(per.where("comps > 1"), "h").withColumn("u", (F.col("main.k") == 1) | (F.col("comp") != F.col("main.comp"))).drop("main", "comps")
 
 
 def _round(state: DataFrame, known: DataFrame | None, sets: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """New distances, and the members that go on."""
+    """New distances, and the members that go on: the pivots, now compared with all, and what no window holds drop out."""
     slot = F.pmod(F.xxhash64("c"), F.lit(pivots))
-    chosen = state.where("u").groupBy("h", slot.alias("slot")).agg(F.min(F.struct("c", "n")).alias("q")).select("h", F.col("q.c").alias("p"), F.col("q.n").alias("m"))
+    chosen = state.where("u").groupBy("h", slot.alias("slot")).agg(F.max(F.struct("z", "c", "n", "r", "comp")).alias("q"))
+    chosen = stage(chosen.select("h", F.col("q.c").alias("p"), F.col("q.n").alias("m"), F.col("q.r").alias("s"), F.col("q.comp").alias("other")), "jaccard-pivots")
     pairs = state.join(chosen, "h").where("c <> p")
-    near = close(F.col("n"), F.col("m"))
-    fresh = pairs.where(near).select("c", "p").distinct()
+    fresh = pairs.where(enough(F.least("r", "s"), F.col("n"), F.col("m")) & (F.col("comp") != F.col("other"))).select("c", "p").distinct()
     if known is not None:
         fresh = fresh.join(known.select("c", "p"), ["c", "p"], "left_anti")
     dist = stage(_distances(stage(fresh, "jaccard-pairs"), sets), "jaccard-distances")
     known = dist if known is None else known.unionByName(dist)
     apart = 1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))
-    met = pairs.join(known, ["c", "p"], "left")
-    met = met.select("h", "c", "n", "u", "p", F.when(F.col("inter").isNotNull(), apart).otherwise(1 - F.least("n", "m") / F.greatest("n", "m")).alias("lo"),
-                     F.when(F.col("inter").isNotNull(), apart).otherwise(1.0).alias("hi"), F.coalesce(linked(F.col("inter"), F.col("n"), F.col("m")), F.lit(False)).alias("ball"))
-    members = met.groupBy("h", "c", "n", "u").agg(F.max("ball").alias("ball"), F.map_from_entries(F.collect_list(F.struct("p", F.struct("lo", "hi")))).alias("d"))
-    members = members.join(chosen.select("h", F.col("p").alias("c")), ["h", "c"], "left_anti").withColumn("u", F.col("u") & ~F.col("ball"))
-    members = stage(members, "jaccard-members")
-    open_ = members.where("u").select("h", F.explode("d").alias("p", "x")).groupBy("h", "p").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
-    open_ = open_.groupBy("h").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("st"))
-    window = F.forall("st", lambda s: (F.element_at("d", s["p"])["hi"] + 0.25000001 >= s["lo"]) & (F.element_at("d", s["p"])["lo"] - 0.25000001 <= s["hi"]))
-    return dist, stage(members.join(open_, "h").where(F.col("u") | window).select("h", "c", "n", "u"), "jaccard-state")
-
-
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (``doc_id``, ``n``, ``c``) and links (``c``, ``p``) between classes that join all linked classes into components."""
+    met = pairs.join(known, ["c", "p"], "left")                    # without a distance, sizes give its bounds
+    met = met.select("h", "c", "n", "r", "z", "comp", "u", "p", F.coalesce(apart, 1 - F.least("n", "m") / F.greatest("n", "m")).alias("lo"), F.coalesce(apart, F.lit(1.0)).alias("hi"))
+    members = met.groupBy("h", "c", "n", "r", "z", "comp", "u").agg(F.map_from_entries(F.collect_list(F.struct("p", F.struct("lo", "hi")))).alias("d"))
+    members = stage(members.join(chosen.select("h", F.col("p").alias("c")), ["h", "c"], "left_anti"), "jaccard-members")
+    outer = members.where("u").select("h", F.explode("d").alias("p", "x")).groupBy("h", "p").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
+    outer = outer.groupBy("h").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("st"))
+    window = F.forall("st", lambda s: (~F.map_contains_key("d", s["p"])) | (F.element_at("d", s["p"])["hi"] + 0.25000001 >= s["lo"]) & (F.element_at("d", s["p"])["lo"] - 0.25000001 <= s["hi"]))
+    return dist, stage(members.join(outer, "h").where(F.col("u") | window).select("h", "c", "n", "r", "z"), "jaccard-state")
+
+
+def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (``doc_id``, ``n``, ``c``), and the component (``root``) of each class (``node``) that is linked with a smaller one."""
     rows = stage(_documents(docs), "jaccard-documents")
     classes = rows.where("n > 0").groupBy("c").agg(F.first("n").alias("n"))
     total = rows.count()
     heavy = rows.select(F.explode("heavy").alias("x")).groupBy("x.h").agg(F.sum("x.k").alias("k")).where(F.col("k") * HEAVY_SHARE >= total)
-    state = _regions(docs, classes, heavy)
-    shared = state.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    state = stage(state.join(shared, "h").select("h", "c", "n", F.lit(True).alias("u")), "jaccard-state")
-    sets = _wanted(docs, state.select("c").distinct())
-    known, pivots = None, 1
+    often = _heavy(docs, heavy)
+    sets = _wanted(docs, _candidates(docs, classes, often))
+    known, labels, pivots, state = None, None, 1, stage(_open(_regions(sets, often), None), "jaccard-open")
     while not state.isEmpty():
         dist, state = _round(state, known, sets, pivots)
         known, pivots = dist if known is None else known.unionByName(dist), 2 * pivots
+        labels = _label(labels, dist)
+        state = stage(_open(state, labels), "jaccard-open")
     if known is None:
-        return rows, classes.select("c", F.col("c").alias("p")).limit(0)
-    size = lambda k: classes.select(F.col("c").alias(k), F.col("n").alias(f"n_{k}"))
-    found = known.join(size("c"), "c").join(size("p"), "p").where(linked(F.col("inter"), F.col("n_c"), F.col("n_p")))
-    return rows, stage(found.select("c", "p"), "jaccard-links")
+        return rows, docs.sparkSession.createDataFrame([], "node long, root long")
+    return rows, components(known.where("linked = 1").select(F.col("c").alias("a"), F.col("p").alias("b")))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -227,8 +281,7 @@ def join(docs: DataFrame) -> DataFrame:
     are linked. Rows with equal ids are rows of their own; a null id is never the smallest. Other columns are not read.
     Shingles and sets are told apart by 64-bit hashes.
     """
-    rows, found = links(docs)
-    roots = components(found.select(F.col("c").alias("a"), F.col("p").alias("b")))
+    rows, roots = linked_classes(docs)
     least = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
     named = least.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = stage(named, "jaccard-classes")
@@ -241,7 +294,7 @@ def join(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, but of each component only the one with the smallest id (null ids last, then the first row).
 
-    Rows without shingles all stay.
+    ``docs`` must be a table on disk: rows are numbered by their place in it. Rows without shingles all stay.
     """
     key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.monotonically_increasing_id().alias("r"))
     kept = join(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.r").alias("_kept"))

@@ -22,6 +22,13 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def chunks(sizes: list[int], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes add up to about ``limit``; a range holds one item at least."""
     lo, held = 0, 0
@@ -35,9 +42,9 @@ def chunks(sizes: list[int], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each behind a line feed of its own, and the n + 1 bounds of the texts."""
+    """Code points of all texts, each behind a line feed of its own and with one at the end, and the n + 1 bounds of the texts."""
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    points = np.frombuffer("".join(["\n" + t for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer(("\n" + "\n".join(texts) + "\n" * bool(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
     return points, np.concatenate(([0], np.cumsum(lengths)))
 
 
@@ -134,25 +141,50 @@ def linear_sums(points: np.ndarray, bounds: np.ndarray, weights: np.ndarray, bit
     return total, count
 
 
-def feature_bags(points: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For training: start and index (into the distinct words) of each word, and the distinct words' slots with their bounds."""
-    space = is_space(points)
-    starts, ends = words(space)
-    hashes = run_hashes(points, starts, ends)
-    _, first, index = np.unique(hashes, return_index=True, return_inverse=True)
-    picked = [np.concatenate(([10], points[starts[i]:ends[i]])).astype(np.uint32) for i in first]
-    line = np.concatenate([*picked, [10]]).astype(np.uint32) if picked else np.array([10], np.uint32)
-    bounds = np.concatenate(([0], np.cumsum([len(p) for p in picked]))).astype(np.int64)
-    space = is_space(line)
-    s, e = words(space)
-    slots, where = [word_slots(line, s, e, bits)], [s]
-    for n in GRAMS:
-        got, at = gram_slots(line, space, bits, n)
-        slots.append(got)
-        where.append(at)
-    slots, where = np.concatenate(slots), np.concatenate(where)
-    order = np.argsort(where, kind="stable")
-    return starts, index, slots[order], np.searchsorted(where[order], bounds)
+class Bags:
+    """For training: the words of a sequence of chunks as indices into their distinct words, with the slots of each distinct word.
+
+    A word's slots are made once, in the first chunk that holds it, so memory follows the number of distinct words.
+    """
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.seen = bits, np.zeros(0, np.uint64)
+        self.hashes, self.names, self.slots, self.sizes = [], [], [], []
+
+    def add(self, points: np.ndarray) -> np.ndarray:
+        """Takes a chunk in and returns the starts of its words."""
+        starts, ends = words(is_space(points))
+        hashes = run_hashes(points, starts, ends)
+        names, first = np.unique(hashes, return_index=True)
+        fresh = ~np.isin(names, self.seen)
+        names, first = names[fresh], first[fresh]
+        picked = [points[max(0, starts[i] - 1):ends[i]] for i in first]          # with the space before it
+        line = np.concatenate([*picked, [10]]).astype(np.uint32)
+        bounds = np.concatenate(([0], np.cumsum([len(p) for p in picked]))).astype(np.int64)
+        s, e = words(is_space(line))
+        slots, where = [word_slots(line, s, e, self.bits)], [s.astype(np.int32)]
+        for n in GRAMS:
+            got, at = gram_slots(line, is_space(line), self.bits, n)
+            slots.append(got)
+            where.append(at.astype(np.int32))
+        slots, where = np.concatenate(slots), np.concatenate(where)
+        order = np.argsort(where, kind="stable")
+        self.hashes.append(hashes)
+        self.names.append(names)
+        self.slots.append(slots[order])
+        self.sizes.append(np.diff(np.searchsorted(where[order], bounds)))
+        self.seen = np.union1d(self.seen, names)
+        return starts
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of each word; slots of the distinct words and their bounds."""
+        if not self.names:
+            return np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        names = np.concatenate(self.names)
+        order = np.argsort(names).astype(np.int32)
+        names = names[order]
+        index = np.concatenate([order[np.searchsorted(names, h)] for h in self.hashes])
+        return index, np.concatenate(self.slots), np.concatenate(([0], np.cumsum(np.concatenate(self.sizes))))
 
 
 def keep_rows(docs: DataFrame, wanted: Callable[[list[str]], np.ndarray]) -> DataFrame:
