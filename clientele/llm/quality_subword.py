@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
-from .labelled import crc_part, training_sample
+from .labelled import crc_part, fit_in_task, training_sample
 
 
 PAIR = 0                         # slot of the pair of equal neighbouring words
@@ -39,17 +39,22 @@ class Model:
 
 def _bags(texts: list[str], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text: distinct slots and their shares of its features."""
-    out = []
-    for a, z in K.chunks([len(t) for t in texts]):
+    bags, cuts, twice, n_words = K.Bags(bits), [0], [], 0
+    for a, z in K.chunks([len(t) for t in texts], K.CHUNK // 4):
         points, docs = K.code_points(texts[a:z])
-        starts, index, slots, bounds = K.feature_bags(points, bits)
-        cut, twice = np.searchsorted(starts, docs), np.diff(np.searchsorted(K.repeats(points), docs))
-        for i in range(z - a):
-            word, times = np.unique(index[cut[i]:cut[i + 1]], return_counts=True)
-            lengths = bounds[word + 1] - bounds[word]
-            at = np.repeat(bounds[word] - np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(word) else np.zeros(0, np.int64), lengths) + np.arange(lengths.sum())
-            share = np.append(np.repeat(times, lengths), twice[i]).astype(np.float32)
-            out.append((np.append(slots[at], PAIR).astype(np.int64), share / max(1.0, share.sum())))
+        starts = bags.add(points)
+        cuts += (np.searchsorted(starts, docs[1:]) + n_words).tolist()
+        twice += np.diff(np.searchsorted(K.repeats(points), docs)).tolist()
+        n_words += len(starts)
+    index, slots, bounds = bags.joined()
+    out = []
+    for i, again in enumerate(twice):
+        word, times = np.unique(index[cuts[i]:cuts[i + 1]], return_counts=True)
+        lengths = bounds[word + 1] - bounds[word]
+        before = np.cumsum(lengths) - lengths
+        at = np.repeat(bounds[word] - before, lengths) + np.arange(lengths.sum())
+        share = np.append(np.repeat(times, lengths), again).astype(np.float32)
+        out.append((np.append(slots[at], PAIR).astype(np.int32), share / max(1.0, share.sum())))
     return out
 
 
@@ -108,10 +113,9 @@ def score_texts(margins: np.ndarray, bias: float, bits: int, texts: list[str]) -
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, seed: int = 17) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, seed: int = 17) -> Model:
     """Fits on at most ``per_class`` labelled documents of each class whose crc32(doc_id) mod 5 is not 0."""
-    rows = training_sample(docs, labels, "quality", crc_part(F.col("doc_id"), 5) != 0, per_class, seed)
-    return fit(rows["text"].tolist(), rows["y"].to_numpy())
+    return fit_in_task(training_sample(docs, labels, "quality", crc_part(F.col("doc_id"), 5) != 0, per_class, seed), fit)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

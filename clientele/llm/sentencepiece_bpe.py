@@ -25,7 +25,7 @@ from . import kernels as K
 MARK = "▁"
 PART = re.compile(MARK + "*[^" + MARK + "]+|" + MARK + "+")
 NONE = float("-inf")             # score of a pair that is no piece
-KEPT = 400_000                   # remembered parts per worker, in each of two generations; one chunk of texts may come on top
+KEPT = 200_000                   # remembered parts per worker, in each of two generations; one chunk of texts may come on top
 LONG = 64                        # longer parts are not remembered
 PAIRS = 500_000                  # remembered compatibility checks per worker
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
-from .labelled import crc_part, training_sample
+from .labelled import crc_part, fit_in_task, training_sample
 
 ENDS = (10, 33, 46, 63)          # line feed, exclamation mark, full stop, question mark
 
@@ -46,21 +46,28 @@ def fit(texts: list[str], y: np.ndarray, bits: int = 18, rounds: int = 220, rate
     w, b = np.zeros(1 << bits, np.float32), -6.0
     if len(set(y.tolist())) < 2:
         return Model(w, 12.0 if len(y) and y[0] == 1 else -12.0, bits)
-    points, docs = K.code_points([t.lower() for t in texts])
-    starts, index, slots, slot_bounds = K.feature_bags(points, bits)
-    bounds = sentence_bounds(points)
-    word_cut = np.searchsorted(starts, bounds)
-    full = np.flatnonzero(np.diff(word_cut) > 0)                   # sentences with words
-    lo, hi = word_cut[full], word_cut[full + 1]
-    doc_cut = np.searchsorted(bounds[full], docs)
+    bags, lo, hi, doc_cut, low, n_words = K.Bags(bits), [], [], [0], [t.lower() for t in texts], 0
+    for a, z in K.chunks([len(t) for t in low], K.CHUNK // 4):
+        points, docs = K.code_points(low[a:z])
+        starts = bags.add(points)
+        bounds = sentence_bounds(points)
+        word_cut = np.searchsorted(starts, bounds)
+        full = np.flatnonzero(np.diff(word_cut) > 0)               # sentences with words
+        lo.append(word_cut[full] + n_words)
+        hi.append(word_cut[full + 1] + n_words)
+        doc_cut += (np.searchsorted(bounds[full], docs[1:]) + doc_cut[-1]).tolist()
+        n_words += len(starts)
+    index, slots, slot_bounds = bags.joined()
+    del bags
+    lo, hi, doc_cut = np.concatenate(lo), np.concatenate(hi), np.array(doc_cut)
     doc_of = np.repeat(np.arange(len(texts)), np.diff(doc_cut))
-    sentence_of = np.repeat(np.arange(len(full)), hi - lo)
-    word_of = np.repeat(np.arange(len(slot_bounds) - 1), np.diff(slot_bounds))
+    sentence_of = np.repeat(np.arange(len(lo), dtype=np.int32), hi - lo)
+    word_of = np.repeat(np.arange(len(slot_bounds) - 1, dtype=np.int32), np.diff(slot_bounds))
     share = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum()))) / len(y)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        value = K.per_segment(w[slots], None, slot_bounds)
-        total = np.concatenate(([0.0], np.cumsum(value[index])))
+        value = np.add.reduceat(w[slots], slot_bounds[:-1]) if len(slots) else w[:0]
+        total = np.concatenate(([0.0], np.cumsum(value[index], dtype=np.float64)))
         z = b + total[hi] - total[lo]
         per_doc = np.concatenate(([0.0], np.cumsum(_softplus(z))))
         bag = np.maximum(per_doc[doc_cut[1:]] - per_doc[doc_cut[:-1]], 1e-9)
@@ -106,13 +113,12 @@ def locate(model: Model, text: str, at_least: float = 0.5) -> list[tuple[int, in
     """
     bounds, logits, _ = _sentences(model, [text.lower()])
     p = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
-    return [(max(0, int(bounds[i]) - 1), int(bounds[i + 1]) - 1, float(p[i])) for i in np.flatnonzero(p >= at_least)]
+    return [(max(0, int(bounds[i]) - 1), min(len(text), int(bounds[i + 1]) - 1), float(p[i])) for i in np.flatnonzero(p >= at_least)]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, seed: int = 11) -> Model:
     """Fits on at most ``per_class`` labelled documents of each class whose crc32(doc_id) mod 3 is not 1."""
-    rows = training_sample(docs, labels, "toxic", crc_part(F.col("doc_id"), 3) != 1, per_class, seed)
-    return fit(rows["text"].tolist(), rows["y"].to_numpy())
+    return fit_in_task(training_sample(docs, labels, "toxic", crc_part(F.col("doc_id"), 3) != 1, per_class, seed), fit)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
