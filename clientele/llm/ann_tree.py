@@ -3,8 +3,8 @@
 The tree is fitted on a bounded sample; every vector is filed in one of its leaves. A query walks the tree best bin first: a
 priority queue holds the nodes seen so far by the inner product of query and centre, and the best one is opened next. How many
 leaves are visited is calibrated: a bounded set of queries is answered exactly, and the visits are widened until the wanted
-part of the true neighbours lies in the visited leaves. Leaves and their queries meet in cells of bounded size; the first leaf
-gives each query a score that what it finds in the others must reach.
+part of the true neighbours lies in the visited leaves. Leaves and their queries meet in cells of bounded size; the first few
+leaves give each query a score that what it finds in the others must reach.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ class Plan:
     leaf_rows: int = 256             # wanted rows of a leaf, as far as the sample allows so many leaves
     branches: int = 16
     calibration: int = 200           # queries answered exactly, at most
+    first_leaves: int = 8            # leaves that set the score which the others must reach
     block_rows: int = 2048           # rows of a leaf in one cell
     block_queries: int = 4096        # queries of a leaf in one cell
     seed: int = 3
@@ -177,9 +178,9 @@ def search(vectors: DataFrame, is_query: Column, plan: Plan = Plan(), id_column:
 
     walks = stage(queries.mapInPandas(walk, f"query_id long, q {kind}, leaf long, place int"), "ann-walks")
     top = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= plan.k)
-    first = stage(top(_meet(filed, walks.where("place = 0").withColumn("least", F.lit(float("-inf"))), plan)).drop("rank"), "ann-first")
+    first = stage(top(_meet(filed, walks.where(F.col("place") < plan.first_leaves).withColumn("least", F.lit(float("-inf"))), plan)).drop("rank"), "ann-first")
     least = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == plan.k).drop("n")
-    rest = walks.where("place > 0").join(least, "query_id", "left").fillna(float("-inf"), ["least"])
+    rest = walks.where(F.col("place") >= plan.first_leaves).join(least, "query_id", "left").fillna(float("-inf"), ["least"])
     return top(_meet(filed, rest, plan).unionByName(first)).select("query_id", "rank", "vec_id", "score")
 
 
