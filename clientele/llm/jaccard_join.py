@@ -294,11 +294,13 @@ def join(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, but of each component only the one with the smallest id (null ids last, then the first row).
 
-    ``docs`` must be a table on disk: rows are numbered by their place in it. Rows without shingles all stay.
+    The rows are written once with their numbers, which both the join and the result are read from: a second scan could be cut
+    into other partitions and number them differently. Rows without shingles all stay.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.monotonically_increasing_id().alias("r"))
-    kept = join(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.r").alias("_kept"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
+    kept = join(held.select(key.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.r").alias("_kept"))
+    return held.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
 
 
 ORACLE = r"""

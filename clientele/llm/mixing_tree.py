@@ -18,7 +18,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clientele.functions.staging import stage
 
@@ -80,15 +80,15 @@ def first_words(text: str, n: int) -> str:
     return text[:end]
 
 
-def sizes(docs: DataFrame, seed: int) -> DataFrame:
-    """``rid`` (a number of the row), ``doc_id``, ``source``, ``size`` in words and the row's place ``ring`` in the permuted order."""
+def sizes(docs: DataFrame, seed: int, rid: Column | None = None) -> DataFrame:
+    """``rid`` (a number of the row, its place if not given), ``doc_id``, ``source``, ``size`` in words and the row's place ``ring`` in the permuted order."""
     trimmed = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE_CHARS))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", trimmed.alias("t"))
+    rows = docs.select((F.monotonically_increasing_id() if rid is None else rid).alias("rid"), "doc_id", "source", trimmed.alias("t"))
     rows = rows.select("rid", "doc_id", "source", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", SPACE))).cast("long").alias("size"))
     return rows.withColumn("ring", F.pmod(F.xxhash64("source", "doc_id", "size", F.lit(seed)), F.lit(RING)))
 
 
-def taken(docs: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
+def taken(docs: DataFrame, plan: Plan = Plan(), rid: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs``: a table of documents and a table of pieces.
 
     Documents (one row per input row): ``rid``, ``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` (words, repeats
@@ -97,10 +97,11 @@ def taken(docs: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
 
     A null source is a source of its own, the last one. Null and empty texts have size 0 and give nothing. Repeated rows are
     rows of their own. An empty table gives empty tables. Other columns are not read. A source's last block is cut to the
-    word, so the words taken equal the rounded target.
+    word, so the words taken equal the rounded target. ``rid`` names a stored number of the row; without it, rows are numbered
+    in one scan, and the numbers can't be made again.
     """
     spark = docs.sparkSession
-    rows = stage(sizes(docs, plan.seed), "mix-sizes")
+    rows = stage(sizes(docs, plan.seed, rid), "mix-sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     known = per_source.orderBy(F.col("source").asc_nulls_last()).limit(plan.max_sources + 1).collect()   # bounded, see max_sources
     if len(known) > plan.max_sources:
@@ -167,15 +168,17 @@ def shards(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """``docs`` (a table on disk: rows are numbered by their place) as the mix uses them: a row per use, with the text cut
-    behind the words that this use takes.
+    """``docs`` as the mix uses them: a row per use, with the text cut behind the words that this use takes.
 
+    The rows are written once with their numbers, which both the quotas and the texts are read from: a second scan could be
+    cut into other partitions and number them differently.
     ``n_chars``, if there, is set to the text's length. Rows that the mix takes nothing of are left out.
     """
-    rows, _ = taken(docs, plan)
+    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    rows, _ = taken(held, plan, F.col("_row"))
     turns = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("size")) - 1), lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size")))
     uses = rows.where(F.col("taken") > 0).select(F.col("rid").alias("_rid"), F.col("size").alias("_size"), F.explode(turns).alias("_words"))
-    found = docs.withColumn("_row", F.monotonically_increasing_id()).join(uses, F.col("_row") == F.col("_rid"))
+    found = held.join(uses, F.col("_row") == F.col("_rid"))
     names = list(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
