@@ -96,7 +96,7 @@ def _(spark, sf):
 
 
 # Trained models and random draws have no SQL twin. Their queries return facts that must hold and can fail, next to numbers that SQL
-# can count; 1 means that the fact holds.
+# can count; 1 means that the fact holds. The rows themselves come from the queries that end in _rows.
 
 @REG.add("smote", LAB + """, r AS (SELECT CAST(churned = 1 AND frequency <= 8 AS INTEGER) AS y FROM lab), k AS (SELECT sum(y) AS p, count(*) - sum(y) AS n FROM r)
   SELECT CAST(greatest(0, floor(n * 0.6) - p) AS BIGINT) AS n_new, 1 AS from_minority, 1 AS between_parents FROM k""")
@@ -134,13 +134,22 @@ def facts_sql(names: list[str]) -> str:
     return LAB + f", t AS (SELECT count(*) AS n_test, CAST(sum(churned) AS BIGINT) AS n_gone FROM lab WHERE is_test = 1) SELECT model, n_test, n_gone, 1 AS one_score_each, 1 AS accuracy_agrees, 1 AS better_than_chance FROM t, (VALUES {rows}) m(model)"
 
 
+def trained(spark, sf, models: list[str]):
+    """Test metrics of the models, and the written test scores of each."""
+    train, test = split(spark, sf)
+    zoo, kept = mm.model_zoo(len(X)), {}
+    ready = lambda d: mm.assemble(md.scale_standard(d, X, train), X)
+    return stage(mm.train_report(ready(train), ready(test), {m: zoo[m] for m in models}, P, kept), "report"), kept
+
+
 def _train(name: str, models: list[str]) -> None:
+    @REG.add_rows(name)
+    def _(spark, sf):
+        return trained(spark, sf, models)[0]
+
     @REG.add(name, facts_sql(models))
     def _(spark, sf):
-        train, test = split(spark, sf)
-        zoo, kept = mm.model_zoo(len(X)), {}
-        ready = lambda d: mm.assemble(md.scale_standard(d, X, train), X)
-        report = stage(mm.train_report(ready(train), ready(test), {m: zoo[m] for m in models}, P, kept), "report")
+        report, kept = trained(spark, sf, models)
         return union([score_facts(kept[m], m, one_row(report.where(F.col("model") == m).select("accuracy")).getField("accuracy")) for m in models])
 
 
@@ -151,16 +160,25 @@ _train("train_mlp", ["neural_network"])
 _train("train_svm", ["linear_svm"])
 
 
-@REG.add("ensemble_vote", facts_sql(["hard", "soft"]))
-def _(spark, sf):
+def voted(spark, sf):
+    """Votes of the three best models on the test rows, by kind."""
     train, test = split(spark, sf)
     zoo, kept = mm.model_zoo(len(X)), {}
     names = ("logistic_l2", "logistic_l1", "decision_tree", "random_forest")
     ready = lambda d: mm.assemble(d, X)
     report = mm.train_report(ready(train), ready(test), {m: zoo[m] for m in names}, P, kept)
     best = [r["model"] for r in mm.best_models(report).collect()]          # three names
-    votes = {kind: stage(mm.ensemble_vote([kept[m] for m in best], P, kind == "soft"), "vote") for kind in ("hard", "soft")}
-    return union([score_facts(v, kind, one_row(mm.eval_binary(v)).getField("accuracy")) for kind, v in votes.items()])
+    return {kind: stage(mm.ensemble_vote([kept[m] for m in best], P, kind == "soft"), "vote") for kind in ("hard", "soft")}
+
+
+@REG.add_rows("ensemble_vote")
+def _(spark, sf):
+    return union([mm.eval_binary(v).select(F.lit(kind).alias("model"), "accuracy", "precision", "recall", "f1", "roc_auc") for kind, v in voted(spark, sf).items()])
+
+
+@REG.add("ensemble_vote", facts_sql(["hard", "soft"]))
+def _(spark, sf):
+    return union([score_facts(v, kind, one_row(mm.eval_binary(v)).getField("accuracy")) for kind, v in voted(spark, sf).items()])
 
 
 @REG.add("tune", "SELECT 12 AS n_settings, 1 AS best_first, 1 AS better_than_chance")
@@ -203,11 +221,19 @@ def _(spark, sf):
     return mm.class_report(rule_scores(spark, sf)).select("class", "support", *rnd("precision", "recall", "f1", digits=6))
 
 
+def calibrated(spark, sf):
+    scores = stage(rule_scores(spark, sf).join(md.stratified_split(labelled(spark, sf), P, "churned").select(P, "is_test"), P), "scores")
+    return stage(mm.calibrate_isotonic(scores.where("is_test = 1"), scores), "calibrated")
+
+
+@REG.add_rows("calibrate_isotonic")
+def _(spark, sf):
+    return calibrated(spark, sf).select(P, "churned", "is_test", "score", "calibrated")
+
+
 @REG.add("calibrate_isotonic", LAB + "SELECT count(DISTINCT score) AS n_scores, 1 AS rising, 1 AS mean_kept FROM sp")
 def _(spark, sf):
-    scores = stage(rule_scores(spark, sf).join(md.stratified_split(labelled(spark, sf), P, "churned").select(P, "is_test"), P), "scores")
-    held_out = scores.where("is_test = 1")
-    out = stage(mm.calibrate_isotonic(held_out, scores), "calibrated")
+    out = calibrated(spark, sf)
     per = out.groupBy("score").agg(F.min("calibrated").alias("lo"), F.max("calibrated").alias("hi"))
     steps = per.withColumn("before", F.max("hi").over(W.partitionBy(F.floor(F.col("score") * 10)).orderBy("score").rowsBetween(W.unboundedPreceding, -1)))
     mean = one_row(out.where("is_test = 1").agg((F.abs(F.avg("calibrated") - F.avg("churned")) < 1e-6).alias("ok"))).getField("ok")
@@ -279,19 +305,38 @@ def _(spark, sf):
     return mm.result_checks(rep).select("model", "verdict", "auc_in_range")
 
 
-@REG.add("batch_score", LAB + "SELECT count(*) AS n_scored, 1 AS are_probabilities, 1 AS decided_at_half FROM lab WHERE is_test = 1")
-def _(spark, sf):
+def scored_customers(spark, sf):
+    """Churn probability of every customer, by a model of the train rows."""
     train, test = (d.withColumns({c: F.col(c).cast("double") for c in X}) for d in split(spark, sf))
     est = LogisticRegression(labelCol="churned", featuresCol="features", regParam=0.1)
-    out = mm.batch_score(mm.scoring_pipeline(X, est).fit(train), test, P)
+    return mm.batch_score(mm.scoring_pipeline(X, est).fit(train), train.unionByName(test), P), test
+
+
+@REG.add_rows("batch_score")
+def _(spark, sf):
+    return scored_customers(spark, sf)[0]
+
+
+@REG.add("batch_score", LAB + "SELECT count(*) AS n_scored, 1 AS are_probabilities, 1 AS decided_at_half FROM lab WHERE is_test = 1")
+def _(spark, sf):
+    out, test = scored_customers(spark, sf)
+    out = out.join(test.select(P), P)
     p = F.col("churn_probability")
     return out.agg(F.count("*").alias("n_scored"), F.min(flag(p.between(0, 1))).alias("are_probabilities"), F.min(flag(flag(p > 0.5) == F.col("will_churn"))).alias("decided_at_half"))
 
 
+SEGMENTED = ["frequency", "monetary_value", "customer_lifetime_days"]
+
+
+@REG.add_rows("kmeans_segments")
+def _(spark, sf):
+    return mm.kmeans_segments(labelled(spark, sf), SEGMENTED, 5)[1]
+
+
 @REG.add("kmeans_segments", LAB + "SELECT 5 AS n_clusters, count(*) AS n_members, 1 AS means_agree FROM lab")
 def _(spark, sf):
     data = labelled(spark, sf)
-    profile = mm.kmeans_segments(data, ["frequency", "monetary_value", "customer_lifetime_days"], 5)[1]
+    profile = mm.kmeans_segments(data, SEGMENTED, 5)[1]
     mean = one_row(data.agg(F.avg("frequency").alias("m"))).getField("m")
     return profile.agg(F.count("*").cast("int").alias("n_clusters"), F.sum("members").alias("n_members"), F.sum(F.col("members") * F.col("frequency")).alias("_s")).select(
         "n_clusters", "n_members", flag(F.abs(F.col("_s") / F.col("n_members") - mean) < 0.01).alias("means_agree"))

@@ -174,10 +174,20 @@ def _(spark, sf):
                                  "n_components int, falling int, norms_agree int, within_total int")
 
 
+def factor_recs(spark, sf):
+    """Coded ratings and each user's ten recommendations."""
+    coded = stage(rc.coded_ratings(implicit(spark, sf)), "coded")
+    return coded, rc.recommend_by_factors(coded, rc.als_model().fit(coded), 10)
+
+
+@REG.add_rows("user_recs_mf")
+def _(spark, sf):
+    return factor_recs(spark, sf)[1]
+
+
 @REG.add("user_recs_mf", RAT + "SELECT u AS customer_unique_id, 10 AS n_items, 1 AS unbought, 1 AS ranks_whole FROM im GROUP BY 1")
 def _(spark, sf):
-    coded = stage(rc.coded_ratings(implicit(spark, sf)), "coded")
-    recs = rc.recommend_by_factors(coded, rc.als_model().fit(coded), 10)
+    coded, recs = factor_recs(spark, sf)
     bought = coded.select(P, I, F.lit(1).alias("b"))
     return recs.join(bought, [P, I], "left").groupBy(P).agg(F.countDistinct(I).cast("int").alias("n_items"), F.min(flag(F.col("b").isNull())).alias("unbought"),
                                                              flag((F.min("rank") == 1) & (F.max("rank") == F.count("*"))).alias("ranks_whole"))

@@ -150,10 +150,18 @@ def trained(spark, sf):
 
 # Facts on trained vectors and topics, as in churn_models: 1 means that the fact holds.
 
+def vectors(spark, sf):
+    return trained(spark, sf).getVectors().select("word", vector_to_array("vector").alias("v"))
+
+
+@REG.add_rows("word2vec")
+def _(spark, sf):
+    return vectors(spark, sf)
+
+
 @REG.add("word2vec", TXT + "SELECT word, 1 AS whole FROM voc")
 def _(spark, sf):
-    v = trained(spark, sf).getVectors().select("word", vector_to_array("vector").alias("v"))
-    return v.select("word", flag((F.size("v") == 100) & F.forall("v", lambda x: ~F.isnan(x)) & F.exists("v", lambda x: x != 0)).alias("whole"))
+    return vectors(spark, sf).select("word", flag((F.size("v") == 100) & F.forall("v", lambda x: ~F.isnan(x)) & F.exists("v", lambda x: x != 0)).alias("whole"))
 
 
 DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
