@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_tree, jaccard_join, mixing_tree, quality_ledger, quality_subword, sentencepiece_bpe, token_counts, toxicity_mil, url_filters, warc
+from . import (ann_tree, hard_negatives, jaccard_join, mixing_tree, quality_ledger, quality_subword, secret_scan, sentencepiece_bpe, token_counts, toxicity_mil,
+               url_filters, warc, whitening)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +99,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_jaccard_join"] = jaccard_join.ORACLE
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=moved)
+
+
+ORACLES["op12_hard_negatives"] = hard_negatives.ORACLE
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
