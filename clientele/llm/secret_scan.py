@@ -76,8 +76,8 @@ def literal_score(text: str, quoted: bool) -> float:
     if all(w in PLACEHOLDERS for w in map(str.lower, PARTS.findall(text))):
         return 0.0
     kinds = sum(map(bool, (re.search(p, text) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))))
-    if not quoted and kinds < 2 or any(c in "\n\r" for c in text):
-        return 0.0
+    if any(c in "\n\r" for c in text) or not quoted and re.fullmatch(r"[._-]*(?:[a-z._-]+|[A-Z._-]+|[0-9._-]+)", text):
+        return 0.0                   # a bare word, number or dotted path
     counts = Counter(text)
     bits = sum(n * math.log2(len(text) / n) for n in counts.values())
     return min(1.0, bits / 64 + 0.15 * (kinds - 1)) * (0.4 if " " in text.strip() else 1.0)
