@@ -175,3 +175,15 @@ def lag_within(df: DataFrame, key: str, ts: str, tie: str, out: str, chunk: str
                .join(earlier, [key, "_c"])
                .withColumn(out, F.coalesce("_prev", "_carry"))
                .drop("_c", "_prev", "_carry"))
+
+
+def dense_codes(df: DataFrame, key: str, out: str, kind: str = "int") -> DataFrame:
+    """0-based codes in key order for a dimension's distinct keys."""
+    distinct = df.select(key).distinct()
+    parts = distinct.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    # written before use: the numbering depends on the sampled range bounds
+    held = stage(parts.select(key, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i")), "codes")
+    counts = held.groupBy("_p").agg(F.count("*").alias("_n"))   # one row per partition
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_p", before.alias("_s"))
+    return held.join(starts, "_p").select(key, (F.col("_i") + F.col("_s")).cast(kind).alias(out))

@@ -14,10 +14,13 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.core import one_row, ratio
+from ..functions.order_stats import dense_codes
 from ..functions.sampling import unit_hash
 from ..functions.staging import stage
+from .cosine import cosine_pairs, nearest_members
 from .features import PERSON
-from .pairs import both_ways, cosine_pairs, nearest_members
+from .inner_products import top_inner_products
+from .pairs import both_ways
 from .relational import topk_per_group
 
 ITEM = "product_id"
@@ -226,18 +229,6 @@ def _rotate(factors: DataFrame, key: str, k: int) -> DataFrame:
     return _apply(held, key, np.linalg.inv(scale).T)
 
 
-def dense_codes(df: DataFrame, key: str, out: str) -> DataFrame:
-    """0-based codes in key order for a dimension's distinct keys."""
-    distinct = df.select(key).distinct()
-    parts = distinct.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
-    # written before use: the numbering depends on the sampled range bounds
-    held = stage(parts.select(key, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i")), "codes")
-    counts = held.groupBy("_p").agg(F.count("*").alias("_n"))   # one row per partition
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_p", before.alias("_s"))
-    return held.join(starts, "_p").select(key, (F.col("_i") + F.col("_s")).cast("int").alias(out))
-
-
 def als_model(rank: int = 50, reg: float = 0.1, nonnegative: bool = False, iterations: int = 10, seed: int = 42) -> ALS:
     return ALS(userCol="user_code", itemCol="item_code", ratingCol="rating", rank=rank, regParam=reg, maxIter=iterations,
                nonnegative=nonnegative, coldStartStrategy="drop", seed=seed, checkpointInterval=5)
@@ -250,20 +241,13 @@ def coded_ratings(ratings: DataFrame) -> DataFrame:
 
 
 def recommend_by_factors(coded: DataFrame, model, n: int = 10) -> DataFrame:
-    """Best unseen items per user. Users are taken in bands of history size; in a band of up to 2^b items the
-    model returns n + 2^b candidates, so that dropping what a user already has always leaves ``n``."""
-    sizes = coded.groupBy("user_code").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("band"))
-    parts = []
-    for band in sorted(r["band"] for r in sizes.select("band").distinct().collect()):   # at most ~40 bands
-        recs = model.recommendForUserSubset(sizes.where(F.col("band") == band).select("user_code"), n + 2 ** band)
-        parts.append(recs.select("user_code", F.explode("recommendations").alias("r")))
-    recs = reduce(DataFrame.unionByName, parts)
-    cand = recs.select("user_code", F.col("r.item_code").alias("item_code"), F.col("r.rating").alias("score"))
-    fresh = cand.join(coded.select("user_code", "item_code"), ["user_code", "item_code"], "left_anti")
-    best = topk_per_group(fresh, ["user_code"], [F.desc("score"), F.asc("item_code")], n)
-    people = coded.select("user_code", PERSON).distinct()
-    goods = coded.select("item_code", ITEM).distinct()
-    return best.join(people, "user_code").join(goods, "item_code").select(PERSON, ITEM, "score", "rank")
+    """Best unseen items per user by the model's factors: exact, block by block as far as a user's bound reaches."""
+    users = model.userFactors.select(F.col("id").alias("user"), F.col("features").alias("v"))
+    items = model.itemFactors.select(F.col("id").alias("item"), F.col("features").alias("v"))
+    best = top_inner_products(users, items, coded.select(F.col("user_code").alias("user"), F.col("item_code").alias("item")), n)
+    people = coded.select(F.col("user_code").cast("long").alias("user"), PERSON).distinct()
+    goods = coded.select(F.col("item_code").cast("long").alias("item"), ITEM).distinct()
+    return best.join(people, "user").join(goods, "item").select(PERSON, ITEM, "score", "rank")
 
 
 def compare_factor_models(coded: DataFrame, folds: int = 5, seed: int = 42, grid: dict | None = None, iterations: int = 20) -> DataFrame:
