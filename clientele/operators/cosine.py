@@ -28,6 +28,7 @@ from ..functions.staging import stage
 SLACK = 1e-9
 DIGITS = 10                          # similarities are rounded before they are compared
 BANDS = 64
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 @dataclass(frozen=True)
@@ -40,12 +41,18 @@ class Lists:
 
 def _postings(ratings: DataFrame, member: str, dimension: str, value: str, plan: Lists) -> tuple[DataFrame, DataFrame, int]:
     """``block``, ``m``, ``d``, ``band``, ``parts``, ``w``, ``rest``, ``next``, ``low``; the codes ``m`` of the members, in their order; blocks."""
-    rows = ratings.select(member, F.col(dimension).alias("_d"), F.col(value).cast("double").alias("_v")).where(F.col("_v") != 0)
-    norms = rows.groupBy(member).agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"))
-    codes = stage(dense_codes(rows, member, "m", "long").join(norms, member), "members")
+    rows = ratings.select(member, F.col(dimension).alias("_d"), F.col(value).cast("double").alias("_v")).where((F.col("_v") != 0) & F.col(dimension).isNotNull())
+    codes = rows.groupBy(member).agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"))
+    if dict(rows.dtypes)[member] in WHOLE:                         # ids that are whole numbers are their own codes
+        codes = codes.withColumn("m", F.col(member).cast("long"))
+    else:
+        codes = stage(dense_codes(rows, member, "m", "long").join(codes, member), "members")
     lists = rows.groupBy("_d").agg(F.count("*").alias("_n")).select(
         "_d", F.floor(F.log2("_n")).cast("int").alias("band"), F.ceil(F.col("_n") / plan.chunk).cast("int").alias("parts"))
-    lists = stage(lists.withColumn("d", F.monotonically_increasing_id()), "lists")
+    if dict(rows.dtypes)["_d"] in WHOLE:
+        lists = lists.withColumn("d", F.col("_d").cast("long"))
+    else:
+        lists = stage(lists.withColumn("d", F.monotonically_increasing_id()), "lists")
     base = rows.join(codes, member).join(lists, "_d").select("m", "d", "band", "parts", (F.col("_v") / F.col("_norm")).alias("w"))
     base = stage(base, "weights")
     sums = base.groupBy("m", "band").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
@@ -215,6 +222,9 @@ def _complete(found: DataFrame, postings: DataFrame, stats: dict | None) -> Data
 
 
 def _names(pairs: DataFrame, codes: DataFrame, member: str) -> DataFrame:
+    kind = dict(codes.dtypes)[member]
+    if kind in WHOLE:
+        return pairs.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "similarity")
     of = lambda c: codes.select(F.col("m").alias(c), F.col(member).alias(f"_{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "similarity")
 
