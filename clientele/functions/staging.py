@@ -42,3 +42,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more, such as the state of a finished round."""
+    spark = df.sparkSession
+    held = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in held:
+        if "/clientele/" in path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

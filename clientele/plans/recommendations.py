@@ -203,7 +203,7 @@ def _(spark, sf):
     return factor_errors(spark, sf)
 
 
-@REG.add("als_train_eval", "SELECT *, 1 AS mae_below_rmse FROM (VALUES ('als'), ('als_tuned'), ('nmf')) t(model)")
+@REG.add("als_train_eval", "SELECT *, 1 AS mae_below_rmse FROM (VALUES ('als'), ('als_tuned'), ('nmf'), " + ", ".join(f"('als rank {r} reg {g}')" for r in (30, 50, 70) for g in (0.1, 0.2, 0.3)) + ") t(model)")
 def _(spark, sf):
     return factor_errors(spark, sf).select("model", flag((F.col("mae") <= F.col("rmse")) & (F.col("rmse") > 0) & (F.col("rmse") < 5)).alias("mae_below_rmse"))
 
