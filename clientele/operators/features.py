@@ -147,20 +147,20 @@ def segment_8() -> Column:
 
 # Score codes of the ten-segment scheme; the first list which holds a code wins.
 SEGMENT_CODES = {
-    "Champions": "555 554 544 545 454 455 445",
-    "Loyal Customers": "543 444 435 355 354 345 344 335",
-    "Potential Loyalists": "553 551 552 541 542 533 532 531 452 451",
-    "New Customers": "512 511 422 421 412 411 311",
-    "Promising": "525 524 523 522 521 515 514 513 425 424 413 414 415 315 314 313",
-    "Need Attention": "535 534 443 434 343 334 325 324",
-    "Cannot Lose Them": "155 154 144 214 215 115 114",
-    "Hibernating": "332 322 231 241 251 233 232 223 222 132 123 122 212 211",
-    "At Risk": "155 154 144 214 215 115 114 113",
+    "Champions": ["555", "554", "544", "545", "454", "455", "445"],
+    "Loyal Customers": ["543", "444", "435", "355", "354", "345", "344", "335"],
+    "Potential Loyalists": ["553", "551", "552", "541", "542", "533", "532", "531", "452", "451"],
+    "New Customers": ["512", "511", "422", "421", "412", "411", "311"],
+    "Promising": ["525", "524", "523", "522", "521", "515", "514", "513", "425", "424", "413", "414", "415", "315", "314", "313"],
+    "Need Attention": ["535", "534", "443", "434", "343", "334", "325", "324"],
+    "Cannot Lose Them": ["155", "154", "144", "214", "215", "115", "114"],
+    "Hibernating": ["332", "322", "231", "241", "251", "233", "232", "223", "222", "132", "123", "122", "212", "211"],
+    "At Risk": ["155", "154", "144", "214", "215", "115", "114", "113"],
 }
 
 
 def segment_10() -> Column:
-    return first_match([(F.col("RFM_score").isin(codes.split()), name) for name, codes in SEGMENT_CODES.items()], "Lost")
+    return first_match([(F.col("RFM_score").isin(codes), name) for name, codes in SEGMENT_CODES.items()], "Lost")
 
 
 # --- churn labels -----------------------------------------------------------------------------
@@ -390,18 +390,23 @@ def engagement_features(orders: DataFrame, reviews: DataFrame, payments: DataFra
 
 
 # Brazilian states by region, and the cities which count as major.
-REGIONS = {"South": "RS SC PR", "Southeast": "SP RJ MG ES", "Northeast": "BA PE CE MA PB RN AL PI SE",
-           "North": "AM PA AC RO RR AP TO", "Center-West": "MT MS GO DF"}
+REGIONS = {
+    "South": ["RS", "SC", "PR"],
+    "Southeast": ["SP", "RJ", "MG", "ES"],
+    "Northeast": ["BA", "PE", "CE", "MA", "PB", "RN", "AL", "PI", "SE"],
+    "North": ["AM", "PA", "AC", "RO", "RR", "AP", "TO"],
+    "Center-West": ["MT", "MS", "GO", "DF"],
+}
 MAJOR_CITIES = ["sao paulo", "rio de janeiro", "brasilia", "salvador", "fortaleza", "belo horizonte",
                 "curitiba", "recife", "porto alegre"]
 
 
-def region_of(state, regions: dict[str, str] = REGIONS) -> Column:
-    return first_match([(F.col(state).isin(codes.split()), name) for name, codes in regions.items()], "Unknown")
+def region_of(state, regions: dict[str, list[str]] = REGIONS) -> Column:
+    return first_match([(F.col(state).isin(codes), name) for name, codes in regions.items()], "Unknown")
 
 
 def geo_features(orders: DataFrame, items: DataFrame, customers: DataFrame, reviews: DataFrame,
-                 regions: dict[str, str] = REGIONS, major: list[str] = MAJOR_CITIES) -> DataFrame:
+                 regions: dict[str, list[str]] = REGIONS, major: list[str] = MAJOR_CITIES) -> DataFrame:
     """Home state and city of each buyer with the statistics of that state and city."""
     score = reviews.groupBy("order_id").agg(F.avg("review_score").alias("_score"), F.lit(1).alias("_has"))
     lines = items.groupBy("order_id").agg(F.sum("price").alias("_sum"), F.sum(F.col("price") * F.col("price")).alias("_sq"),

