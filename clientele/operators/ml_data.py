@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import finite_or_zero, flag, one_row, ratio
 from ..functions.order_stats import column_quantiles, global_rank, grouped_quantiles
@@ -73,14 +75,34 @@ def with_class_weights(df: DataFrame, label: str) -> DataFrame:
 
 # --- generated features ------------------------------------------------------------------------------
 
-def interactions(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Products and ratios of every pair; a zero divisor counts as one."""
+def interaction_columns(columns: list[str]) -> dict[str, Column]:
+    """Products and ratios of every pair, by name; a zero divisor counts as one."""
     new = {}
     for a, b in combinations(columns, 2):
         safe = F.when(F.col(b) == 0, F.lit(1.0)).otherwise(F.col(b))
         new[f"{a}_x_{b}"] = F.col(a) * F.col(b)
         new[f"{a}_div_{b}"] = F.col(a) / safe
-    return df.withColumns(new)
+    return new
+
+
+def interactions(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns(interaction_columns(columns))
+
+
+def anova_scores(df: DataFrame, candidates: dict[str, Column], label: str) -> DataFrame:
+    """``feature``, ``f_value`` of the one-way analysis of variance over the label, null where a feature does not vary inside the labels.
+
+    Counts, means and variances of all candidates per label come from one aggregate; the candidates are never a table of their own.
+    """
+    values = array_to_vector(F.array(*[c.cast("double") for c in candidates.values()]))
+    stats = df.select(label, values.alias("v")).groupBy(label).agg(F.count("*").alias("n"), Summarizer.metrics("mean", "variance").summary(F.col("v")).alias("s"))
+    names = F.array(*[F.lit(c) for c in candidates])
+    rows = stats.select(label, "n", F.posexplode(F.arrays_zip(names.alias("feature"), vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var"))).alias("i", "x"))
+    rows = rows.select(label, "n", "x.feature", "x.mean", "x.var")                       # a row per label and candidate
+    n, k = F.sum("n"), F.count("*")
+    within = F.sum(F.col("var") * (F.col("n") - 1))
+    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - F.sum(F.col("n") * F.col("mean")) * F.sum(F.col("n") * F.col("mean")) / n
+    return rows.groupBy("feature").agg(F.try_divide(between / (k - 1), F.nullif(within / (n - k), F.lit(0.0))).alias("f_value"))
 
 
 # --- oversampling ---------------------------------------------------------------------------------

@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.core import first_match, flag, one_row, ratio
 from ..functions.order_stats import average_ranks, bucket_of
 from ..functions.sampling import unit_hash
-from ..functions.staging import stage
+from ..functions.staging import stage, staging_path
+from .ml_data import anova_scores, interaction_columns
 
 LABEL, FEATURES, WEIGHT = "churned", "features", "weight"
 
@@ -53,14 +54,14 @@ def model_zoo(n_features: int, seed: int = 42) -> dict:
     }
 
 
-def scored(model, df: DataFrame, key: str) -> DataFrame:
-    """``(key, label, score, prediction)``; margins of models without probabilities go through a logistic."""
+def scored(model, df: DataFrame, key: str, also: list[str] = []) -> DataFrame:
+    """``(key, label, score, prediction)`` and the columns ``also``; margins of models without probabilities go through a logistic."""
     out = model.transform(df)
     if "probability" in out.columns:
         score = vector_to_array("probability")[1]
     else:
         score = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
-    return out.select(key, F.col(LABEL), score.alias("score"), flag(score >= 0.5).alias("prediction"))
+    return out.select(key, F.col(LABEL), score.alias("score"), flag(score >= 0.5).alias("prediction"), *also)
 
 
 # --- evaluation -------------------------------------------------------------------------------------
@@ -79,6 +80,25 @@ def eval_binary(scores: DataFrame) -> DataFrame:
                                "f1": ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), "roc_auc": auc})
 
 
+def eval_grouped(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """The metrics of ``eval_binary`` per group; ranks are prefix sums over buckets of scores and inside them."""
+    y, p = F.col(LABEL), F.col("prediction")
+    counts = scores.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
+                                       F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 0) & (p == 0)).alias("tn"))
+    per = scores.groupBy(*keys, "score").agg(F.sum(LABEL).alias("pos"), F.count("*").alias("m")).withColumn("_b", bucket_of("score"))
+    over = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)             # a row per bucket
+    starts = per.groupBy(*keys, "_b").agg(F.sum("m").alias("bm")).select(*keys, "_b", F.coalesce(F.sum("bm").over(over), F.lit(0)).alias("s"))
+    inside = W.partitionBy(*keys, "_b").orderBy("score").rowsBetween(W.unboundedPreceding, 0)
+    ranked = per.withColumn("upto", F.sum("m").over(inside)).join(starts, [*keys, "_b"])
+    rank = F.col("s") + F.col("upto") - (F.col("m") - 1) / 2
+    sums = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * rank).alias("r"), F.sum("pos").alias("n1"), F.sum("m").alias("m"))
+    n1 = F.col("n1")
+    auc = sums.select(*keys, ratio(F.col("r") - n1 * (n1 + 1) / 2, n1 * (F.col("m") - n1)).alias("roc_auc"))
+    return counts.join(auc, keys).withColumns({
+        "accuracy": ratio(F.col("tp") + F.col("tn"), "n"), "precision": ratio("tp", F.col("tp") + F.col("fp")), "recall": ratio("tp", F.col("tp") + F.col("fn")),
+        "f1": ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
+
+
 def confusion(scores: DataFrame) -> DataFrame:
     return scores.groupBy(F.col(LABEL).cast("int").alias("actual"), F.col("prediction").alias("predicted")).agg(F.count("*").alias("n"))
 
@@ -110,32 +130,76 @@ def roc_points(scores: DataFrame) -> DataFrame:
 
 # --- training runs ------------------------------------------------------------------------------------
 
-def train_report(train: DataFrame, test: DataFrame, models: dict, key: str, scores: dict[str, DataFrame] | None = None) -> DataFrame:
+def _at_once(work: list, parallelism: int) -> list:
+    """Results of several independent fits; their jobs share the cluster."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return [f.result() for f in [pool.submit(w) for w in work]]
+
+
+def train_report(train: DataFrame, test: DataFrame, models: dict, key: str, scores: dict[str, DataFrame] | None = None, parallelism: int = 8) -> DataFrame:
     """Fit each model on ``train`` and report its test metrics; ``scores`` receives the written scores of each."""
+    train = train.persist()
+    try:
+        written = _at_once([lambda est=est: stage(scored(est.fit(train), test, key), "scores") for est in models.values()], parallelism)
+    finally:
+        train.unpersist()
     parts = []
-    for name, est in models.items():
-        out = stage(scored(est.fit(train), test, key), "scores")
+    for name, out in zip(models, written):
         if scores is not None:
             scores[name] = out
         parts.append(eval_binary(out).select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1", "roc_auc"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def cv_report(data: DataFrame, models: dict, key: str, folds: int = 5) -> DataFrame:
-    """Cross-validated training and validation metrics per model; ``data`` has a ``fold`` column.
+def cv_scores(data: DataFrame, models: dict, key: str, folds: int = 5, training_too: bool = True, parallelism: int = 8) -> DataFrame:
+    """Written scores of every model and fold: ``model``, ``fold``, ``part`` (``val`` or ``train``), key, label, ``score``, ``prediction``.
 
-    The folds of a model are scored into one table, so evaluation is one grouped aggregate, not a job per fold.
+    ``data`` has a ``fold`` column. A value of ``models`` is an estimator, or a pair of a boosting estimator and numbers of rounds: one
+    fit then gives a model per number, ``name`` with the number in place of ``{}``, from its first so many trees.
     """
+    data = data.persist()
+    spark, paths = data.sparkSession, []
+
+    def fit(name: str, est, f: int) -> list[str]:
+        rounds = None
+        if isinstance(est, tuple):
+            est, rounds = est
+        fitted = est.fit(data.where(F.col("fold") != f))
+        rows = data.withColumn("part", F.when(F.col("fold") == f, "val").otherwise("train"))
+        rows = rows if training_too else rows.where(F.col("part") == "val")
+        out = []
+        for n in rounds or [None]:
+            path = staging_path(spark, "cv")
+            got = scored(fitted if n is None else first_trees(fitted, n), rows, key, ["part"])
+            got.select(F.lit(name.format(n)).alias("model"), F.lit(f).alias("fold"), "part", key, LABEL, "score", "prediction").write.parquet(path)
+            out.append(path)
+        return out
+
+    try:
+        for found in _at_once([lambda n=n, e=e, f=f: fit(n, e, f) for n, e in models.items() for f in range(folds)], parallelism):
+            paths += found
+    finally:
+        data.unpersist()
+    return spark.read.parquet(*paths)
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The boosted model after its first ``n`` rounds."""
+    java, gateway = model._java_obj, SparkContext._gateway
+    trees = list(java.trees())[:n]
+    held = gateway.new_array(SparkContext._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weights = gateway.new_array(SparkContext._jvm.double, len(trees))
+    for i, t in enumerate(trees):
+        held[i], weights[i] = t, model.treeWeights[i]
+    short = SparkContext._jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{n}", held, weights)
+    java.copyValues(short, java.extractParamMap())
+    return GBTClassificationModel(short)
+
+
+def cv_metrics(scores: DataFrame) -> DataFrame:
+    """Mean training and validation metrics per model of what ``cv_scores`` wrote."""
     cols = ["accuracy", "precision", "recall", "f1", "roc_auc"]
-    parts = []
-    for name, est in models.items():
-        for f in range(folds):
-            fitted = est.fit(data.where(F.col("fold") != f))
-            out = scored(fitted, data.withColumn("part", F.when(F.col("fold") == f, "val").otherwise("train")), key)
-            both = stage(out.join(data.select(key, F.when(F.col("fold") == f, "val").otherwise("train").alias("part")), key), "cv")
-            for part in ("train", "val"):
-                parts.append(eval_binary(both.where(F.col("part") == part)).select(F.lit(name).alias("model"), F.lit(part).alias("part"), *cols))
-    long = stage(reduce(DataFrame.unionByName, parts), "cv")
+    long = eval_grouped(scores, ["model", "fold", "part"])
     side = lambda p, c: F.avg(F.when(F.col("part") == p, F.col(c)))
     out = long.groupBy("model").agg(
         side("train", "accuracy").alias("cv_train_accuracy"), *[side("val", c).alias(f"cv_val_{c}") for c in cols],
@@ -143,17 +207,30 @@ def cv_report(data: DataFrame, models: dict, key: str, folds: int = 5) -> DataFr
     return out.withColumn("cv_overfit_gap", F.col("cv_train_accuracy") - F.col("cv_val_accuracy"))
 
 
-def tune(train: DataFrame, grid: dict[str, list], samples: int | None = None, folds: int = 3, seed: int = 42) -> DataFrame:
-    """Grid search, or a random sample of the grid, by area under the ROC curve."""
-    est = _common(GBTClassifier, seed=seed)
-    combos = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
+def cv_report(data: DataFrame, models: dict, key: str, folds: int = 5) -> DataFrame:
+    """Cross-validated training and validation metrics per model; ``data`` has a ``fold`` column.
+
+    The folds of all models are fitted side by side and scored into one table, so evaluation is one grouped aggregate.
+    """
+    return cv_metrics(cv_scores(data, models, key, folds))
+
+
+def tuning_grid(grid: dict[str, list], samples: int | None = None, seed: int = 42) -> dict:
+    """Boosting settings as models for ``cv_scores``: the whole grid, or a random sample of it. Numbers of rounds share their fits."""
+    rounds = sorted(grid.get("maxIter", [20]))
+    rest = {k: v for k, v in grid.items() if k != "maxIter"}
+    combos = [dict(zip(rest, v)) for v in itertools.product(*rest.values())]
     if samples is not None and samples < len(combos):
         combos = random.Random(seed).sample(combos, samples)
-    maps = [{getattr(est, k): v for k, v in c.items()} for c in combos]
-    ev = BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, foldCol="fold", parallelism=2, seed=seed).fit(train)
-    rows = [(", ".join(f"{k}={v}" for k, v in c.items()), float(m)) for c, m in zip(combos, cv.avgMetrics)]
-    return train.sparkSession.createDataFrame(rows, "params string, auc double").orderBy(F.desc("auc"))
+    return {", ".join([*(f"{k}={v}" for k, v in c.items()), "maxIter={}"]): (_common(GBTClassifier, seed=seed, maxIter=rounds[-1], checkpointInterval=10, **c), rounds) for c in combos}
+
+
+def tune(data: DataFrame, grid: dict[str, list], key: str, samples: int | None = None, folds: int = 3, seed: int = 42, scores: list | None = None) -> DataFrame:
+    """Grid search, or a random sample of the grid, by the mean area under the ROC curve; ``scores`` receives the written scores."""
+    written = cv_scores(data, tuning_grid(grid, samples, seed), key, folds, training_too=False)
+    if scores is not None:
+        scores.append(written)
+    return cv_metrics(written).select(F.col("model").alias("params"), F.col("cv_val_roc_auc").alias("auc")).orderBy(F.desc("auc"), "params")
 
 
 def ensemble_vote(scores: list[DataFrame], key: str, soft: bool = True) -> DataFrame:
@@ -175,15 +252,27 @@ def importance_table(df: DataFrame, columns: list[str], importances) -> DataFram
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def select_features(train: DataFrame, columns: list[str], top: int = 10, best: int = 50, trees: int = 50, seed: int = 42) -> tuple[list[str], list[str]]:
-    """Names of the most important features of a forest, and those kept by an ANOVA selection."""
-    data = assemble(train, columns)
-    forest = _common(RandomForestClassifier, numTrees=trees, seed=seed).fit(data)
+def select_features(train: DataFrame, columns: list[str], top: int = 10, best: int = 50, trees: int = 50, seed: int = 42) -> tuple[list[str], DataFrame]:
+    """Names of a forest's ``top`` features, and the candidates by rank: ``feature``, ``f_value``, ``rank``, ``kept``.
+
+    Candidates are all columns and the products and ratios of the top features; the ``best`` of them by analysis of variance are kept.
+    """
+    forest = _common(RandomForestClassifier, numTrees=trees, seed=seed).fit(assemble(train, columns))
     ranked = sorted(zip(columns, forest.featureImportances.toArray()), key=lambda x: (-x[1], x[0]))
-    picker = UnivariateFeatureSelector(featuresCol=FEATURES, labelCol=LABEL, outputCol="selected", selectionMode="numTopFeatures")
-    picker = picker.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(min(best, len(columns)))
-    kept = picker.fit(data).selectedFeatures
-    return [c for c, _ in ranked[:top]], [columns[i] for i in sorted(kept)]
+    chosen = [c for c, _ in ranked[:top]]
+    scores = anova_scores(train, candidates(columns, chosen), LABEL)
+    rank = F.row_number().over(W.orderBy(F.desc_nulls_last("f_value"), "feature"))              # a row per candidate
+    return chosen, scores.withColumn("rank", rank).withColumn("kept", flag(F.col("rank") <= best))
+
+
+def candidates(columns: list[str], top: list[str]) -> dict:
+    return {c: F.col(c) for c in columns} | interaction_columns(top)
+
+
+def with_candidates(df: DataFrame, columns: list[str], top: list[str], kept: list[str]) -> DataFrame:
+    """The kept candidates as columns."""
+    made = candidates(columns, top)
+    return df.withColumns({c: made[c].cast("double") for c in kept})
 
 
 def permutation_importance(model, df: DataFrame, columns: list[str], key: str, seed: int = 42) -> DataFrame:

@@ -112,12 +112,42 @@ def _(spark, sf):
                     F.min(flag(held)).alias("between_parents"))
 
 
-@REG.add("feature_selection", f"SELECT * FROM (VALUES ('anova', {min(50, len(X))}, {min(50, len(X))}), ('forest', 10, 10)) t(method, n, n_known)")
+def anova_sql() -> str:
+    """Every feature, product and ratio, and its F value."""
+    plain = {c: f"coalesce(CASE WHEN isfinite({c}::DOUBLE) THEN {c}::DOUBLE END, 0)" for c in X}
+    made = {c: c for c in X}
+    for i, a in enumerate(X):
+        for b in X[i + 1:]:
+            made |= {f"{a}_x_{b}": f"{a} * {b}", f"{a}_div_{b}": f"{a} / (CASE WHEN {b} = 0 THEN 1 ELSE {b} END)"}
+    return LAB.rstrip() + f""", cl AS (SELECT churned, {', '.join(f'{e} AS {c}' for c, e in plain.items())} FROM lab WHERE is_test = 0),
+  lg AS (SELECT churned, unnest([{', '.join(f"'{c}'" for c in made)}]) AS feature, unnest([{', '.join(made.values())}]) AS x FROM cl),
+  st AS (SELECT feature, churned, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM lg GROUP BY 1, 2),
+  fv AS (SELECT feature, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) / nullif(sum(v * (n - 1)) / (sum(n) - count(*)), 0) AS f FROM st GROUP BY 1)"""
+
+
+@REG.add("anova_f_values", anova_sql() + f" SELECT feature, {r('f', 4, 'f_value')} FROM fv")
 def _(spark, sf):
     train, _ = split(spark, sf)
-    top, kept = mm.select_features(train, X)
-    rows = [("forest", len(set(top)), len(set(top) & set(X))), ("anova", len(set(kept)), len(set(kept) & set(X)))]
-    return spark.createDataFrame(rows, "method string, n int, n_known int")
+    return md.anova_scores(train, mm.candidates(X, X), "churned").select("feature", *rnd("f_value"))
+
+
+# The forest's choice has no SQL twin. Its candidates' F values do, and so does what follows from them.
+@REG.add("feature_selection", anova_sql() + ", t(n_top, n_candidates, n_kept) AS (VALUES (10, 102, 50)) SELECT n_top, n_candidates, n_kept, 1 AS best_kept, (SELECT count(*) FROM lab WHERE is_test = 0) AS n_train, "
+         + r("(SELECT max(f) FROM fv WHERE feature IN (" + ", ".join(f"'{c}'" for c in X) + "))", 4, "best_single") + " FROM t")
+def _(spark, sf):
+    train, _ = split(spark, sf)
+    top, found = mm.select_features(train, X)
+    found = stage(found, "selected")
+    facts = found.agg(F.lit(len(top)).alias("n_top"), F.count("*").cast("int").alias("n_candidates"), F.sum("kept").cast("int").alias("n_kept"),
+                      flag(F.min(F.when(F.col("kept") == 1, F.col("f_value"))) >= F.max(F.when(F.col("kept") == 0, F.col("f_value")))).alias("best_kept"),
+                      F.max(F.when(F.col("feature").isin(X), F.col("f_value"))).alias("best_single"))
+    n = one_row(train.agg(F.count("*").alias("n"))).getField("n")
+    return facts.select("n_top", "n_candidates", "n_kept", "best_kept", n.alias("n_train"), *rnd("best_single"))
+
+
+@REG.add_rows("feature_selection")
+def _(spark, sf):
+    return mm.select_features(split(spark, sf)[0], X)[1]
 
 
 def score_facts(out, name: str, accuracy):
@@ -161,12 +191,8 @@ _train("train_svm", ["linear_svm"])
 
 
 def voted(spark, sf):
-    """Votes of the three best models on the test rows, by kind."""
-    train, test = split(spark, sf)
-    zoo, kept = mm.model_zoo(len(X)), {}
-    names = ("logistic_l2", "logistic_l1", "decision_tree", "random_forest")
-    ready = lambda d: mm.assemble(d, X)
-    report = mm.train_report(ready(train), ready(test), {m: zoo[m] for m in names}, P, kept)
+    """Votes of the three best of all nine models on the test rows, by kind."""
+    report, kept = trained(spark, sf, list(mm.model_zoo(len(X))))
     best = [r["model"] for r in mm.best_models(report).collect()]          # three names
     return {kind: stage(mm.ensemble_vote([kept[m] for m in best], P, kind == "soft"), "vote") for kind in ("hard", "soft")}
 
@@ -181,20 +207,55 @@ def _(spark, sf):
     return union([score_facts(v, kind, one_row(mm.eval_binary(v)).getField("accuracy")) for kind, v in voted(spark, sf).items()])
 
 
-@REG.add("tune", "SELECT 12 AS n_settings, 1 AS best_first, 1 AS better_than_chance")
+GRID = {"maxDepth": [2, 3, 4], "maxIter": [100, 200], "stepSize": [0.1, 0.3]}
+NINE = ["boosting_deep", "decision_tree", "gradient_boosting", "linear_svm", "logistic_elastic", "logistic_l1", "logistic_l2", "neural_network", "random_forest"]
+
+
+def folded(spark, sf, folds):
+    data = md.with_class_weights(md.stratified_folds(labelled(spark, sf), P, "churned", folds), "churned")
+    return mm.assemble(stage(data, "folds"), X)
+
+
+def written_facts(scores, report, name, accuracy):
+    """Facts on the written validation scores per model: everybody once, and the reported mean of the folds' accuracies recomputed plainly."""
+    val = scores.where("part = 'val'")
+    per = val.groupBy("model", "fold").agg(F.count("*").alias("n"), F.sum("churned").cast("long").alias("g"), F.avg(flag(F.col("churned") == F.col("prediction"))).alias("a"),
+                                           F.min(flag(F.col("score").between(0, 1))).alias("p")).groupBy("model").agg(
+        F.sum("n").alias("n_val"), F.sum("g").alias("n_gone"), F.avg("a").alias("a"), F.min("p").alias("are_probabilities"))
+    people = val.groupBy("model").agg(F.countDistinct(P).alias("k"))
+    return per.join(people, "model").join(report.select(F.col(name).alias("model"), accuracy.alias("r")), "model").select(
+        F.col("model").alias(name), "n_val", "n_gone", flag(F.col("k") == F.col("n_val")).alias("one_score_each"), "are_probabilities", flag(F.abs(F.col("a") - F.col("r")) < 1e-9).alias("accuracy_agrees"))
+
+
+def written_sql(name: str, values: list[str]) -> str:
+    rows = ", ".join(f"('{v}')" for v in values)
+    return LAB + f"SELECT {name}, count(*) AS n_val, CAST(sum(churned) AS BIGINT) AS n_gone, 1 AS one_score_each, 1 AS are_probabilities, 1 AS accuracy_agrees FROM lab, (VALUES {rows}) m({name}) GROUP BY 1"
+
+
+SETTINGS = [f"maxDepth={d}, stepSize={s}, maxIter={n}" for d in GRID["maxDepth"] for s in GRID["stepSize"] for n in GRID["maxIter"]]
+
+
+@REG.add("tune", written_sql("params", SETTINGS))
+def _(spark, sf):
+    kept = []
+    mm.tune(folded(spark, sf, 3), GRID, P, folds=3, scores=kept)
+    return written_facts(kept[0], mm.cv_metrics(kept[0]).withColumnRenamed("model", "params"), "params", F.col("cv_val_accuracy"))
+
+
+@REG.add_rows("tune")
+def _(spark, sf):
+    return mm.tune(folded(spark, sf, 3), GRID, P, folds=3)
+
+
+@REG.add("cv_report", written_sql("model", NINE))
 def _(spark, sf):
-    data = mm.assemble(stage(md.stratified_folds(labelled(spark, sf), P, "churned", 3), "tune"), X)
-    found = [r["auc"] for r in mm.tune(data, {"maxDepth": [2, 3, 4], "maxIter": [3, 5], "stepSize": [0.1, 0.3]}, folds=3).collect()]   # a row per setting
-    return spark.createDataFrame([(len(found), int(found == sorted(found, reverse=True)), int(0.55 < found[0] <= 1))], "n_settings int, best_first int, better_than_chance int")
+    scores = mm.cv_scores(folded(spark, sf, 5), mm.model_zoo(len(X)), P, 5)
+    return written_facts(scores, mm.cv_metrics(scores), "model", F.col("cv_val_accuracy"))
 
 
-@REG.add("cv_report", "SELECT *, 1 AS gap_agrees, 1 AS better_than_chance FROM (VALUES ('decision_tree'), ('logistic_l2')) t(model)")
+@REG.add_rows("cv_report")
 def _(spark, sf):
-    data = md.with_class_weights(md.stratified_folds(labelled(spark, sf), P, "churned", 5), "churned")
-    zoo = mm.model_zoo(len(X))
-    out = mm.cv_report(stage(data, "cv").transform(lambda d: mm.assemble(d, X)), {m: zoo[m] for m in ("logistic_l2", "decision_tree")}, P)
-    gap = F.abs(F.col("cv_train_accuracy") - F.col("cv_val_accuracy") - F.col("cv_overfit_gap"))
-    return out.select("model", flag((gap < 1e-9) & F.col("cv_train_accuracy").between(0, 1)).alias("gap_agrees"), flag(F.col("cv_val_roc_auc") > 0.55).alias("better_than_chance"))
+    return mm.cv_report(folded(spark, sf, 5), mm.model_zoo(len(X)), P)
 
 
 METRIC_SQL = f""", c AS (SELECT count(*) AS n, count(CASE WHEN churned = 1 AND prediction = 1 THEN 1 END) AS tp, count(CASE WHEN churned = 0 AND prediction = 1 THEN 1 END) AS fp, count(CASE WHEN churned = 1 AND prediction = 0 THEN 1 END) AS fn, count(CASE WHEN churned = 0 AND prediction = 0 THEN 1 END) AS tn FROM sp),
