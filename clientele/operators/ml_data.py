@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,7 +12,7 @@ from ..functions.core import finite_or_zero, flag, one_row, ratio
 from ..functions.order_stats import column_quantiles, global_rank, grouped_quantiles
 from ..functions.sampling import unit_hash
 from ..functions.staging import stage
-from .relational import topk_per_group
+from .neighbours import near_neighbours
 
 # Features of the churn models (nothing that contains the recency itself).
 CHURN_FEATURES = ["total_orders", "total_revenue", "avg_order_value", "order_value_std", "customer_lifetime_days",
@@ -107,29 +106,8 @@ def anova_scores(df: DataFrame, candidates: dict[str, Column], label: str) -> Da
 
 # --- oversampling ---------------------------------------------------------------------------------
 
-def near_neighbours(rows: DataFrame, key: str, columns: list[str], k: int = 15, projections: int = 4, reach: int = 8, seed: int = 42) -> DataFrame:
-    """Approximate nearest neighbours: rows are ordered along a few fixed random directions, the rows next to
-    each other in any order are candidates, and the true distance picks ``k``.
-
-    Work per row is bounded by ``2 x projections x reach``, however many copies of a row exist.
-    """
-    vec = F.array(*[F.col(c).cast("double") for c in columns])
-    base = rows.select(key, vec.alias("v"))
-    found = []
-    for p in range(projections):
-        score = sum((F.col(c).cast("double") * (unit_hash(F.lit(c), p, seed) - 0.5) for c in columns), F.lit(0.0))
-        line = stage(global_rank(rows.select(key, F.round(score, 9).alias("s")), "s", key, "pos").select(key, "pos"), "line")
-        steps = [F.lit(d) for d in range(-reach, reach + 1) if d]
-        asks = line.withColumn("_step", F.explode(F.array(*steps))).select(key, (F.col("pos") + F.col("_step")).alias("pos"))
-        found.append(asks.join(line.select(F.col(key).alias("other"), "pos"), "pos").select(key, "other"))
-    cand = reduce(DataFrame.unionByName, found).distinct()
-    both = cand.join(base, key).join(base.select(F.col(key).alias("other"), F.col("v").alias("w")), "other")
-    gap = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return topk_per_group(both.select(key, "other", "v", "w", gap.alias("d")), [key], [F.asc("d"), F.asc("other")], k)
-
-
 def smote(df: DataFrame, key: str, label: str, columns: list[str], ratio_to: float = 0.6, k: int = 15, seed: int = 42) -> DataFrame:
-    """Synthetic minority rows up to ``ratio_to`` of the majority: points between a row and one of its
+    """Synthetic minority rows up to ``ratio_to`` of the majority: points between a row and one of its ``k`` nearest
     neighbours. The label 1 is the minority. Returns the new rows only, ``(columns, label)``."""
     counts = one_row(df.agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
     minority = stage(df.where(F.col(label) == 1).select(key, *columns), "minority")
@@ -139,7 +117,7 @@ def smote(df: DataFrame, key: str, label: str, columns: list[str], ratio_to: flo
     copies = F.floor(wanted / pos) + flag(F.col("_turn") <= wanted % pos)
     plan = (ranked.withColumn("_copies", copies.cast("int")).where(F.col("_copies") > 0)
                   .select(key, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")))
-    near = near_neighbours(minority, key, columns, k, seed=seed)
+    near = near_neighbours(minority, key, columns, k)
     degree = near.groupBy(key).agg(F.count("*").alias("_deg"))
     chosen = plan.join(degree, key).withColumn("rank", (F.floor(unit_hash(F.col(key), F.col("_copy"), "which", seed) * F.col("_deg")) + 1).cast("int"))
     between = unit_hash(F.col(key), F.col("_copy"), "gap", seed)
