@@ -31,7 +31,7 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def record_id(page_id: int | None, row: int) -> str:
+def record_id(page_id: int | None, row: str) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
 
 
@@ -46,15 +46,27 @@ def record(kind: str, uri: str, name: str, digest: str, payload: bytes, first: s
     return deflate.compress("\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n") + deflate.flush()
 
 
+def placed(pages: DataFrame) -> DataFrame:
+    """``page_id``, ``url``, ``html`` and ``row``, which stays the same however the scan is cut.
+
+    Of a plain scan of files it is the file (as a 64-bit hash of its path) and the row's index in it; other tables are written
+    once with their numbers.
+    """
+    html = F.coalesce("html", F.lit("")).alias("html")
+    if pages._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        place = pages.metadataColumn("_metadata")
+        row = F.concat_ws("-", F.hex(F.xxhash64(place["file_path"])), place["row_index"].cast("string"))
+        return pages.select("page_id", "url", html, row.alias("row"))
+    return stage(pages.select("page_id", "url", html, F.monotonically_increasing_id().cast("string").alias("row")), "warc-rows")
+
+
 def plan_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """``page_id``, ``url``, ``html``, ``row``, ``digest`` and ``first`` (page and row of the response of a revisit, else null).
 
-    ``pages`` must be a table on disk: rows are numbered by their place in it, so that of rows with the same id exactly one
-    can be the response. Of equal payloads of ``least_bytes`` or more the smallest page id is the response (null ids come last, then the smallest
-    row number); all others revisit it.
+    Rows are told apart by their place, so that of rows with the same id exactly one can be the response. Of equal payloads of
+    ``least_bytes`` or more the smallest page id is the response (null ids come last, then the smallest place as text); all others revisit it.
     """
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.monotonically_increasing_id().alias("row"))
+    rows = placed(pages)
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     long = F.octet_length("html") >= least_bytes
     me = F.struct(F.col("page_id").isNull().alias("z"), F.col("page_id").alias("page_id"), F.col("row").alias("row"))
@@ -100,18 +112,19 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100) -> DataFrame:
 
 def members(file, start: int, until: int, size: int) -> Iterator[tuple[int, bytes]]:
     """Start and content of the WARC members that start in ``[start, until)``."""
-    at, window, base = start, b"", start
+    at, window, base = start, bytearray(), start
 
     def more() -> bool:
         nonlocal window
         file.seek(base + len(window))
         got = file.read(READ_BYTES)
-        window += got
+        window.extend(got)
         return bool(got)
 
     while at < until:
         if at - base > READ_BYTES:
-            window, base = window[at - base:], at
+            del window[:at - base]
+            base = at
         hit = window.find(MAGIC, at - base)
         if hit < 0:                                                # keep two bytes: the magic may lie across two reads
             at = max(at, base + len(window) - 2)
@@ -155,7 +168,10 @@ SCHEMA = "path string, start long, type string, id string, uri string, digest st
 
 
 def read(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Records of the files of a manifest, by byte ranges: columns of ``SCHEMA``; ``payload`` is what the record itself holds."""
+    """Records of the files of a manifest, by byte ranges: columns of ``SCHEMA``; ``payload`` is what the record itself holds.
+
+    An empty manifest, or one of empty files, gives no rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("type", pa.string()), ("id", pa.string()), ("uri", pa.string()), ("digest", pa.string()),
                             ("refers_to", pa.string()), ("payload_length", pa.int64()), ("payload", pa.binary())])
@@ -177,7 +193,9 @@ def read(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE_BYTE
 
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long")))
     ranges = manifest.where("bytes > 0").select("path", "bytes", cuts.alias("start")).withColumn("until", F.least(F.col("bytes"), F.col("start") + range_bytes))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, SCHEMA)
+    # as many partitions as ranges; without a number Spark would merge these few small rows into one task
+    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    return ranges.repartition(min(int(n), 20_000), "path", "start").mapInArrow(run, SCHEMA)
 
 
 def summary(records: DataFrame) -> DataFrame:
