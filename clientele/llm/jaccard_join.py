@@ -295,12 +295,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, unchanged, but of each component only the one with the smallest id (null ids last, then the first row).
 
     The rows are written once with their numbers, which both the join and the result are read from: a second scan could be cut
-    into other partitions and number them differently. Rows without shingles all stay.
+    into other partitions and number them differently. Rows without shingles (null, empty or blank texts) all stay. An empty table
+    gives an empty one; columns may have any names.
     """
-    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
-    key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    kept = join(held.select(key.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.r").alias("_kept"))
-    return held.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    held = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "jaccard-rows")
+    key = F.struct(F.col("doc.doc_id").isNull().alias("z"), F.col("doc.doc_id").alias("d"), F.col("row").alias("r"))
+    kept = join(held.select(key.alias("doc_id"), F.col("doc.text").alias("text"))).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.r").alias("kept"))
+    return held.join(kept, F.col("row") == F.col("kept"), "left_semi").select("doc.*")
 
 
 ORACLE = r"""

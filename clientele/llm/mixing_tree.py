@@ -168,28 +168,33 @@ def shards(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """``docs`` as the mix uses them: a row per use, with the text cut behind the words that this use takes.
+    """``docs`` as the mix uses them, by shard: a row per use, with the text cut behind the words that this use takes.
 
-    The rows are written once with their numbers, which both the quotas and the texts are read from: a second scan could be
-    cut into other partitions and number them differently.
-    ``n_chars``, if there, is set to the text's length. Rows that the mix takes nothing of are left out.
+    What a use takes is the sum of its pieces; it stands in the shard and at the place of its first piece, and each shard is one
+    partition in its shuffled order. The rows are written once with their numbers, which both the quotas and the texts are read
+    from: a second scan could be cut into other partitions and number them differently.
+    ``n_chars``, if there, is set to the text's length. Rows that the mix takes nothing of, so those of null or empty texts, are left
+    out; a null source is a source of its own. An empty table gives an empty one; columns may have any names.
     """
-    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    rows, _ = taken(held, plan, F.col("_row"))
-    turns = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("size")) - 1), lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size")))
-    uses = rows.where(F.col("taken") > 0).select(F.col("rid").alias("_rid"), F.col("size").alias("_size"), F.explode(turns).alias("_words"))
-    found = held.join(uses, F.col("_row") == F.col("_rid"))
+    held = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    rows, pieces = taken(held.select("doc.doc_id", "doc.text", "doc.source", F.col("row").alias("number")), plan, F.col("number"))
+    uses = pieces.groupBy("rid", "turn").agg(F.sum("n_words").alias("words"), F.min(F.struct("first_word", "shard", "place")).alias("at"))
+    uses = uses.join(rows.select("rid", "size"), "rid").select("rid", "size", "words", "at.shard", "at.place")
+    uses = stage(uses, "mix-uses")
+    found = held.join(uses, F.col("row") == F.col("rid")).select("doc", "size", "words", "shard", "place")
     names = list(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.column("_words").to_numpy(zero_copy_only=False) < batch.column("_size").to_numpy(zero_copy_only=False)
-            texts = batch.column("text").to_pylist()
-            for i in np.flatnonzero(part):
-                texts[i] = first_words(texts[i], int(batch.column("_words")[i].as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(c).type) if c == "text" else batch.column(c) for c in names], names)
-
-    out = found.select(*names, "_words", "_size").mapInArrow(cut, docs.schema)
+            words, doc = batch.column("words").to_numpy(zero_copy_only=False), batch.column("doc")
+            texts = doc.field("text").to_pylist()
+            for i in np.flatnonzero(words < batch.column("size").to_numpy(zero_copy_only=False)):
+                texts[i] = first_words(texts[i], int(words[i]))
+            columns = [pa.array(texts, doc.field(c).type) if c == "text" else doc.field(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    n = min(20_000, 1 + (uses.agg(F.max("shard")).first()[0] or 0))
+    out = found.repartition(n, "shard").sortWithinPartitions("shard", "place").mapInArrow(cut, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out
