@@ -160,21 +160,20 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
                           (F.col("_pre") + F.col("_off") + (F.col("n") + 1) / 2).alias("avg_rank")))
 
 
-def lag_within(df: DataFrame, key: str, ts: str, tie: str, out: str, chunk: str = "MONTH") -> DataFrame:
-    """Previous ``ts`` of the same key, with each key's history cut into calendar chunks.
+def lag_within(df: DataFrame, key: str, ts: str, tie: str, out: str) -> DataFrame:
+    """Previous ``ts`` of the same key, by a carry over cells.
 
-    Rows are ordered inside ``(key, chunk)``; the first row of a chunk takes the last timestamp of the
-    key's nearest earlier chunk. One very active key is thus spread over as many tasks as it has chunks;
-    take a chunk that is short against the time the table covers.
+    Rows are dealt out by ranges of ``(key, ts, tie)`` whose bounds Spark samples, so a key's history is cut into as many cells as it
+    needs. They are written before use, since the bounds differ from run to run. Inside a cell the previous row is at hand; a cell's
+    first row takes the last row of the cell before it, from a table with a row per cell.
     """
-    cut = df.withColumn("_c", F.date_trunc(chunk, F.col(ts)))
-    inside = W.partitionBy(key, "_c").orderBy(ts, tie)
-    ends = cut.groupBy(key, "_c").agg(F.max(ts).alias("_last"))
-    earlier = ends.withColumn("_carry", F.lag("_last").over(W.partitionBy(key).orderBy("_c"))).drop("_last")
-    return (cut.withColumn("_prev", F.lag(ts).over(inside))
-               .join(earlier, [key, "_c"])
-               .withColumn(out, F.coalesce("_prev", "_carry"))
-               .drop("_c", "_prev", "_carry"))
+    held = stage(df.repartitionByRange(F.col(key).asc(), F.col(ts).asc(), F.col(tie).asc()).withColumn("_cell", F.spark_partition_id()), "lagged")
+    mine = F.struct(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(tie).alias("i"))
+    carried = held.groupBy("_cell").agg(F.max(mine).alias("_last")).select("_cell", F.lag("_last").over(W.orderBy("_cell")).alias("_carry"))
+    inside = W.partitionBy("_cell").orderBy(key, ts, tie)
+    rows = held.withColumn("_before", F.lag(mine).over(inside)).join(carried, "_cell")
+    before = F.coalesce("_before", "_carry")
+    return rows.select(*df.columns, F.when(before["k"].eqNullSafe(F.col(key)), before["t"]).alias(out))
 
 
 def dense_codes(df: DataFrame, key: str, out: str, kind: str = "int") -> DataFrame:

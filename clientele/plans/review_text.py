@@ -23,9 +23,9 @@ def docs(spark, sf):
 
 
 def lexicon(table):
-    """Stand-in lexicon: the texts are invented words, so frequent words get a polarity from a hash."""
-    counts = table.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n >= 20")
-    return counts.select("token", F.round(unit_hash(F.col("token"), "polarity") * 2 - 1, 4).alias("polarity"),
+    """Stand-in lexicon: the texts are invented words, so every word gets a polarity from a hash, the same in any text and at any scale."""
+    known = table.select(F.explode(F.array_distinct("tokens")).alias("token")).distinct()
+    return known.select("token", F.round(unit_hash(F.col("token"), "polarity") * 2 - 1, 4).alias("polarity"),
                          F.round(unit_hash(F.col("token"), "subjectivity"), 4).alias("subjectivity"))
 
 
@@ -41,7 +41,7 @@ TXT = rf"""WITH d0 AS (SELECT doc_id AS review_id, 1 + doc_id % 5 AS review_scor
 docs AS (SELECT *, list_filter(string_split(clean_text, ' '), lambda t: t <> '') AS ws, list_filter(string_split(clean_text, ' '), lambda t: length(t) > 2 AND t NOT IN ({STOPS})) AS toks FROM d0),
 tk AS (SELECT review_id, review_score, unnest(toks) AS token FROM docs),
 wk AS (SELECT review_id, unnest(ws) AS token FROM docs),
-lex AS (SELECT token, round({HASH("token || '|polarity'")} * 2 - 1, 4) AS polarity, round({HASH("token || '|subjectivity'")}, 4) AS subjectivity FROM tk GROUP BY 1 HAVING count(*) >= 20),
+lex AS (SELECT token, round({HASH("token || '|polarity'")} * 2 - 1, 4) AS polarity, round({HASH("token || '|subjectivity'")}, 4) AS subjectivity FROM tk GROUP BY 1),
 pol0 AS (SELECT review_id, round(sum(polarity) / count(*), 8) AS polarity, round(sum(subjectivity) / count(*), 8) AS subjectivity FROM wk JOIN lex USING (token) GROUP BY 1),
 pol AS (SELECT docs.*, coalesce(polarity, 0) AS polarity, coalesce(subjectivity, 0) AS subjectivity FROM docs LEFT JOIN pol0 USING (review_id)),
 asp AS (SELECT *, {", ".join("CAST(" + " OR ".join(f"contains(clean_text, '{k}')" for k in keys) + f" AS INTEGER) AS {a}_mentioned" for a, keys in tx.ASPECTS.items())},
