@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.core import (at_least, at_most, cut, elapsed_days, first_match, flag, lookup, month_label, one_row,
                               ratio)
 from ..functions.order_stats import qcut_values, quantiles
-from .features import PERSON
+from .features import PERSON, TS
 from .relational import pct_change, running_share
 
 # Expected return rate by review score; anything else counts as 0.05.
@@ -112,9 +112,19 @@ def churn_drivers(customers: DataFrame) -> DataFrame:
                     share(F.col("frequency") == 1).alias("single_purchase"))
 
 
+def value_trend(orders: DataFrame, items: DataFrame, ts: str = TS) -> DataFrame:
+    """Mean order value in the earlier and in the later half of the time between a customer's first and last order."""
+    values = items.groupBy("order_id").agg(F.round(F.sum("price"), 2).alias("_value")).join(orders.select("order_id", PERSON, F.unix_micros(ts).alias("_at")), "order_id")
+    middle = values.groupBy(PERSON).agg(((F.min("_at") + F.max("_at")) / 2).alias("_mid"))
+    late = F.col("_at") > F.col("_mid")
+    return values.join(middle, PERSON).groupBy(PERSON).agg(F.avg(F.when(~late, F.col("_value"))).alias("early_value"), F.avg(F.when(late, F.col("_value"))).alias("late_value"))
+
+
 def churn_risk_score(customers: DataFrame) -> DataFrame:
-    falling_value = flag(F.round("avg_order_value", 4) < F.round(ratio(MONEY, "frequency"), 4))
-    poor = flag(F.col("avg_review_score") < 3) if "avg_review_score" in customers.columns else F.lit(0)
+    """Weighted flags; ``customers`` may carry ``avg_review_score`` and the columns of ``value_trend``, a flag without them is 0."""
+    has = lambda *names: set(names) <= set(customers.columns)
+    falling_value = flag(F.round("late_value", 4) < F.round("early_value", 4)) if has("early_value", "late_value") else F.lit(0)
+    poor = flag(F.col("avg_review_score") < 3) if has("avg_review_score") else F.lit(0)
     return customers.withColumns({
         "survival_days": F.col("customer_lifetime_days"), "event_observed": F.col("churned"),
         "declining_frequency": flag(F.col("avg_days_between_orders") > 60), "declining_value": falling_value,

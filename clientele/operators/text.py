@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import first_match, flag, one_row, ratio
 from ..functions.staging import stage
@@ -183,22 +185,30 @@ def collocations(docs: DataFrame, column: str = "tokens", min_count: int = 10, t
 def merge_collocations(docs: DataFrame, pairs: DataFrame, column: str = "tokens") -> DataFrame:
     """Texts with accepted pairs joined by ``_``, left to right without overlap.
 
-    In a run of overlapping pairs every other one is taken, starting with the first.
+    A text's distinct neighbours are looked up once each; the text then folds its own words by what was found. A null column stays null.
     """
     c = F.col(column)
-    # every word with its successor (NULL at the end)
-    nxt = F.transform(c, lambda t, i: F.struct(i.alias("pos"), t.alias("a"), F.try_element_at(c, i + 2).alias("b")))
-    long = docs.select(ID, F.explode(nxt).alias("x")).select(ID, "x.*")
-    hits = long.join(pairs.select("a", "b"), ["a", "b"], "left_semi").select(ID, "pos")
-    w = W.partitionBy(ID).orderBy("pos")   # one text
-    runs = hits.withColumn("_run", F.col("pos") - F.row_number().over(w))
-    first = F.min("pos").over(W.partitionBy(ID, "_run"))
-    taken = (runs.withColumn("_first", first).where((F.col("pos") - F.col("_first")) % 2 == 0)
-                 .select(ID, "pos", F.lit(True).alias("_start")))
-    ends = taken.select(ID, (F.col("pos") + 1).alias("pos"))
-    kept = (long.join(taken, [ID, "pos"], "left").join(ends, [ID, "pos"], "left_anti")
-                .withColumn("token", F.when(F.col("_start"), F.concat_ws("_", "a", "b")).otherwise(F.col("a"))))
-    return kept.groupBy(ID).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens"))
+    neighbours = F.when(F.size(c) >= 2, F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.struct(
+        F.element_at(c, i).alias("a"), F.element_at(c, i + 1).alias("b"))))
+    near = docs.select(ID, F.explode(F.array_distinct(neighbours)).alias("x")).select(ID, "x.a", "x.b")
+    known = near.join(pairs.select("a", "b"), ["a", "b"], "left_semi").groupBy(ID).agg(F.collect_set(F.struct("a", "b")).alias("_pairs"))     # pairs of one text
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for words_, found in zip(batch.column("tokens").to_pylist(), batch.column("_pairs").to_pylist()):
+                if found:
+                    wanted, merged, i = {(p["a"], p["b"]) for p in found}, [], 0
+                    while i < len(words_):
+                        both = i + 1 < len(words_) and (words_[i], words_[i + 1]) in wanted
+                        merged.append(f"{words_[i]}_{words_[i + 1]}" if both else words_[i])
+                        i += 1 + both
+                    words_ = merged
+                out.append(words_)
+            yield pa.RecordBatch.from_arrays([batch.column(ID), pa.array(out, pa.list_(pa.string()))], [ID, "tokens"])
+
+    rows = docs.select(ID, c.alias("tokens")).join(known, ID, "left")
+    return rows.mapInArrow(fold, f"{ID} {dict(docs.dtypes)[ID]}, tokens array<string>")
 
 
 def phrase_collocations(docs: DataFrame, min_count: int = 10, threshold: float = 50.0, second_min: int = 5) -> DataFrame:
@@ -275,15 +285,21 @@ def doc_embeddings(docs: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, features: int = 100, min_df: int = 5, max_df: float = 0.8, longest: int = 2, more_than: int = 3) -> DataFrame:
-    """Length-normed TF-IDF weights of the most frequent terms, as ``(review, term, tfidf)``."""
+    """Length-normed TF-IDF weights of the most frequent terms, as ``(review, term, tfidf)``.
+
+    The vocabulary comes first, from one aggregate over all terms; only its terms are then counted per text.
+    """
     used = docs.where(F.size("tokens") > more_than)
     terms = used.select(ID, F.concat(*[ngrams("tokens", n) for n in range(1, longest + 1)]).alias("terms"))
-    counts = stage(token_counts(terms, "terms"), "terms")
     n = one_row(used.agg(F.count("*").alias("n"))).getField("n")
-    per = counts.groupBy("token").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
+    one = lambda c, total, df: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(total).alias("total"), F.lit(df).alias("df")))
+    seen = terms.select(F.explode(F.concat(one("terms", 1, 0), one(F.array_distinct("terms"), 0, 1))).alias("x"))
+    per = seen.groupBy("x.token").agg(F.sum("x.total").alias("total"), F.sum("x.df").alias("df"))
     vocab = (per.where((F.col("df") >= min_df) & (F.col("df") <= n * F.lit(max_df))).orderBy(F.desc("total"), "token").limit(features)
                 .select("token", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))
-    weights = counts.join(vocab, "token").withColumn("w", F.col("n") * F.col("idf"))
+    vocab = stage(vocab, "vocabulary")                             # ``features`` rows
+    counts = terms.select(ID, F.explode("terms").alias("token")).join(F.broadcast(vocab), "token").groupBy(ID, "token").agg(F.count("*").alias("n"), F.first("idf").alias("idf"))
+    weights = stage(counts.withColumn("w", F.col("n") * F.col("idf")), "weights")
     norms = weights.groupBy(ID).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weights.join(norms, ID).select(ID, F.col("token").alias("term"), (F.col("w") / F.col("norm")).alias("tfidf"))
 

@@ -27,6 +27,11 @@ def with_reviews(spark, sf, customers):
     return customers.join(score, P, "left")
 
 
+def with_trend(spark, sf, customers):
+    s = Star(spark, sf)
+    return customers.join(mt.value_trend(s.orders(), s.items()), P, "left")
+
+
 MET = PRE + f""", v0 AS (SELECT rfm.*, round(list_sum(list_transform(range(12), lambda m: avg_order_value * frequency / greatest(customer_lifetime_days / 30, 1)
   * pow(1 - least(recency_days / 365, 1), m) / pow(1 + 0.1 / 12, m))), 4) AS predictive_clv FROM rfm),
 te AS (SELECT quantile_cont(predictive_clv, [0.2, 0.4, 0.6, 0.8]) AS te FROM v0),
@@ -38,7 +43,10 @@ pr AS (SELECT *, 50 + frequency * 5 + ret AS total_cost, monetary_value - (50 +
 prof AS (SELECT *, gross_profit / nullif(monetary_value, 0) AS profit_margin, gross_profit / nullif(total_cost, 0) * 100 AS roi FROM pr),
 seg AS (SELECT *, CASE WHEN profit_margin <= 0 THEN 'Loss Making' WHEN profit_margin <= 0.1 THEN 'Low Profit' WHEN profit_margin <= 0.2 THEN 'Medium Profit' WHEN profit_margin <= 0.3 THEN 'High Profit' WHEN profit_margin IS NOT NULL THEN 'Very High Profit' END AS profitability_segment FROM prof),
 chan AS (SELECT *, CASE WHEN frequency > 3 THEN 'Organic' WHEN avg_order_value > 100 THEN 'Paid Search' WHEN customer_lifetime_days < 30 THEN 'Social Media' ELSE 'Direct' END AS acquisition_channel FROM prof),
-risk AS (SELECT *, CAST(avg_days_between_orders > 60 AS INTEGER) AS declining_frequency, 0 AS declining_value, coalesce(CAST(avg_review_score < 3 AS INTEGER), 0) AS poor_experience FROM prof),
+vls AS (SELECT customer_unique_id, order_id, epoch_us(ts) AS at, round(sum(price), 2) AS v FROM ord JOIN itm USING (order_id) GROUP BY ALL),
+mid AS (SELECT customer_unique_id, (min(at) + max(at)) / 2 AS m FROM vls GROUP BY 1),
+tre AS (SELECT customer_unique_id, avg(CASE WHEN at <= m THEN v END) AS early_value, avg(CASE WHEN at > m THEN v END) AS late_value FROM vls JOIN mid USING (customer_unique_id) GROUP BY 1),
+risk AS (SELECT *, CAST(avg_days_between_orders > 60 AS INTEGER) AS declining_frequency, coalesce(CAST(round(late_value, 4) < round(early_value, 4) AS INTEGER), 0) AS declining_value, coalesce(CAST(avg_review_score < 3 AS INTEGER), 0) AS poor_experience FROM prof LEFT JOIN tre USING (customer_unique_id)),
 risked AS (SELECT *, round(declining_frequency * 0.4 + declining_value * 0.3 + poor_experience * 0.3, 4) AS churn_risk_score FROM risk)
 """
 
@@ -111,7 +119,7 @@ def _(spark, sf):
 @REG.add("churn_risk_score", MET + "SELECT customer_unique_id, customer_lifetime_days AS survival_days, churned AS event_observed, declining_frequency, declining_value, poor_experience, CAST(churn_risk_score AS DOUBLE) AS churn_risk_score FROM risked")
 def _(spark, sf):
     feats = base_features(spark, sf, [P, "customer_lifetime_days", "churned", "avg_days_between_orders", "avg_order_value", "monetary_value", "frequency"])
-    return mt.churn_risk_score(with_reviews(spark, sf, feats)).select(
+    return mt.churn_risk_score(with_trend(spark, sf, with_reviews(spark, sf, feats))).select(
         P, "survival_days", "event_observed", "declining_frequency", "declining_value", "poor_experience", "churn_risk_score")
 
 
@@ -181,7 +189,7 @@ def _(spark, sf):
   UNION ALL SELECT 'risky_customers', 'all', count(*)::DOUBLE FROM risked, med WHERE churn_risk_score > 0.7 AND monetary_value > m UNION ALL SELECT 'risky_revenue', 'all', {r('coalesce(sum(monetary_value), 0)', 3)} FROM risked, med WHERE churn_risk_score > 0.7 AND monetary_value > m
   UNION ALL SELECT 'growth_segment', customer_segment, {r('v', 3)} FROM sg WHERE c < 0.2 AND v > (SELECT median(v) FROM sg) UNION ALL SELECT 'best_channel', acquisition_channel, {r('v', 3)} FROM ch""")
 def _(spark, sf):
-    table = mt.churn_risk_score(mt.profitability(with_reviews(spark, sf, mt.clv_tiers(valued(spark, sf)))))
+    table = mt.churn_risk_score(with_trend(spark, sf, mt.profitability(with_reviews(spark, sf, mt.clv_tiers(valued(spark, sf))))))
     return mt.insight_facts(stage(table, "insights")).select("fact", "name", *rnd("value", digits=3))
 
 

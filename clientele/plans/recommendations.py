@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import flag
+from ..functions.core import flag, one_row
 from ..functions.staging import stage, staging_path
 from ..operators import features as ft
 from ..operators import graphs as gr
@@ -110,7 +110,6 @@ def _(spark, sf):
 
 @REG.add("anti_join_purchased", RAT + ", top AS (SELECT i FROM ln GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), c AS (SELECT DISTINCT ln.u, top.i FROM ln, top) SELECT c.u AS customer_unique_id, c.i AS product_id FROM c ANTI JOIN ln ON ln.u = c.u AND ln.i = c.i")
 def _(spark, sf):
-    from ..functions.core import one_row
     bought = lines(spark, sf)
     top = one_row(rel.top_groups(bought, I, 5).agg(F.collect_list(I).alias("t"))).getField("t")   # five ids
     candidates = bought.select(P).distinct().withColumn(I, F.explode(top))
@@ -239,11 +238,17 @@ def _(spark, sf):
 @REG.add("graph_communities", PAIRS.replace(" LIMIT 20", "").replace("GROUP BY 1, 2 ORDER BY", "GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 2 ORDER BY") + " SELECT a AS node, 0 AS could_do_better FROM (SELECT a FROM tp UNION SELECT b FROM tp)")
 def _(spark, sf):
     edges = stage(pr.co_occurrence(Star(spark, sf).items(), min_weight=2), "edges")
-    found = gr.communities(edges)
-    votes = pr.both_ways(edges, "weight").join(found.select(F.col("node").alias("other"), "community"), "other").groupBy(F.col("member").alias("node"), "community").agg(F.sum("weight").alias("w"))
-    own = votes.join(found, ["node", "community"]).select("node", F.col("w").alias("held"))
-    best = votes.groupBy("node").agg(F.max("w").alias("best"))
-    return found.join(best, "node").join(own, "node", "left").select("node", flag(F.col("best") > F.coalesce("held", F.lit(0))).alias("could_do_better"))
+    found = stage(gr.communities(edges), "communities")
+    # a community could do better if a merge with a neighbour raised the modularity
+    of = lambda c: found.select(F.col("node").alias(c), F.col("community").alias(f"c_{c}"))
+    sides = edges.select(F.explode(F.array("a", "b")).alias("node"), F.col("weight").cast("double").alias("w")).join(found, "node")
+    sums = sides.groupBy("community").agg(F.sum("w").alias("k"))
+    m = one_row(edges.agg(F.sum("weight").cast("double").alias("m"))).getField("m")
+    k = lambda c: sums.select(F.col("community").alias(f"c_{c}"), F.col("k").alias(f"k_{c}"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").where("c_a <> c_b").groupBy(F.least("c_a", "c_b").alias("c_a"), F.greatest("c_a", "c_b").alias("c_b")).agg(F.sum("weight").cast("double").alias("w"))
+    gains = between.join(k("a"), "c_a").join(k("b"), "c_b").where(F.col("w") / m - F.col("k_a") * F.col("k_b") / (2 * m * m) > 1e-9)
+    better = gains.select(F.explode(F.array("c_a", "c_b")).alias("community")).distinct().withColumn("could", F.lit(1))
+    return found.join(better, "community", "left").select("node", F.coalesce("could", F.lit(0)).alias("could_do_better"))
 
 
 @REG.add("customer_similarity_edges", RAT + ", act AS (SELECT u FROM ex GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100), sub AS (SELECT * FROM ex SEMI JOIN act USING (u))" + cos_sql("c", "sub", "u", "i", 0.05) + f" SELECT a, b, {r('similarity', 6, 'weight')} FROM c WHERE similarity > 0.05")
