@@ -114,7 +114,7 @@ def churn_drivers(customers: DataFrame) -> DataFrame:
 
 def value_trend(orders: DataFrame, items: DataFrame, ts: str = TS) -> DataFrame:
     """Mean order value in the earlier and in the later half of the time between a customer's first and last order."""
-    values = items.groupBy("order_id").agg(F.round(F.sum("price"), 2).alias("_value")).join(orders.select("order_id", PERSON, F.unix_micros(ts).alias("_at")), "order_id")
+    values = items.groupBy("order_id").agg(F.round(F.sum("price"), 2).alias("_value")).join(orders.select("order_id", PERSON, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")), "order_id")
     middle = values.groupBy(PERSON).agg(((F.min("_at") + F.max("_at")) / 2).alias("_mid"))
     late = F.col("_at") > F.col("_mid")
     return values.join(middle, PERSON).groupBy(PERSON).agg(F.avg(F.when(~late, F.col("_value"))).alias("early_value"), F.avg(F.when(late, F.col("_value"))).alias("late_value"))

@@ -43,9 +43,9 @@ pr AS (SELECT *, 50 + frequency * 5 + ret AS total_cost, monetary_value - (50 +
 prof AS (SELECT *, gross_profit / nullif(monetary_value, 0) AS profit_margin, gross_profit / nullif(total_cost, 0) * 100 AS roi FROM pr),
 seg AS (SELECT *, CASE WHEN profit_margin <= 0 THEN 'Loss Making' WHEN profit_margin <= 0.1 THEN 'Low Profit' WHEN profit_margin <= 0.2 THEN 'Medium Profit' WHEN profit_margin <= 0.3 THEN 'High Profit' WHEN profit_margin IS NOT NULL THEN 'Very High Profit' END AS profitability_segment FROM prof),
 chan AS (SELECT *, CASE WHEN frequency > 3 THEN 'Organic' WHEN avg_order_value > 100 THEN 'Paid Search' WHEN customer_lifetime_days < 30 THEN 'Social Media' ELSE 'Direct' END AS acquisition_channel FROM prof),
-vls AS (SELECT customer_unique_id, order_id, epoch_us(ts) AS at, round(sum(price), 2) AS v FROM ord JOIN itm USING (order_id) GROUP BY ALL),
-mid AS (SELECT customer_unique_id, (min(at) + max(at)) / 2 AS m FROM vls GROUP BY 1),
-tre AS (SELECT customer_unique_id, avg(CASE WHEN at <= m THEN v END) AS early_value, avg(CASE WHEN at > m THEN v END) AS late_value FROM vls JOIN mid USING (customer_unique_id) GROUP BY 1),
+vls AS (SELECT customer_unique_id, order_id, epoch_us(ts) AS tm, round(sum(price), 2) AS v FROM ord JOIN itm USING (order_id) GROUP BY ALL),
+mid AS (SELECT customer_unique_id, (min(tm) + max(tm)) / 2 AS m FROM vls GROUP BY 1),
+tre AS (SELECT customer_unique_id, avg(CASE WHEN tm <= m THEN v END) AS early_value, avg(CASE WHEN tm > m THEN v END) AS late_value FROM vls JOIN mid USING (customer_unique_id) GROUP BY 1),
 risk AS (SELECT *, CAST(avg_days_between_orders > 60 AS INTEGER) AS declining_frequency, coalesce(CAST(round(late_value, 4) < round(early_value, 4) AS INTEGER), 0) AS declining_value, coalesce(CAST(avg_review_score < 3 AS INTEGER), 0) AS poor_experience FROM prof LEFT JOIN tre USING (customer_unique_id)),
 risked AS (SELECT *, round(declining_frequency * 0.4 + declining_value * 0.3 + poor_experience * 0.3, 4) AS churn_risk_score FROM risk)
 """
