@@ -9,10 +9,11 @@ neighbour lives there. Two kinds of pivots take turns:
   of the document's shingles, so copies in the regions of its first quarter are enough to meet every neighbour. Shingles that
   nobody else has make regions of one, which are not written.
 * Inside a region documents are the pivots, the most central first. Distances to a pivot are exact. Members of one component
-  need no comparison with each other, so a region ends when one component is left. Else its largest component is the inside,
-  and pivots, twice as many in each round, come from the others. An inner member stays for them only while its distances to
-  all pivots lie within 1/4 of the range of theirs. Pairs that share too few of the shingles still to come are not compared:
-  if they are linked, they meet in an earlier region.
+  need no comparison with each other, so a region ends when one component is left. Else its largest component is the inside.
+  For ``INNER`` rounds the pivots, more in each round, come from the inside: in a family of near copies most outer
+  members are linked with one of a few inner ones. Then they come from the outer members that are still left. An inner member
+  stays for these only while its distances to all pivots lie within 1/4 of the range of theirs. Pairs that share too few of the
+  shingles still to come are not compared: if they are linked, they meet in an earlier region.
 
 Equal sets are one class from the start, so copies are never compared. Before any region is made, documents that share too few
 of the shingles in a prefix (three tenths, by hash) with any other document at all are dropped: none can be their neighbour.
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clientele.functions.staging import stage
+from clientele.functions.staging import drop_staged, stage
 
 from . import kernels as K
 from .components import components
@@ -42,6 +43,7 @@ HEAVY_MOST = 100_000             # heavy shingles known to every task, the most
 SALTS = 1024                     # parts that the documents of a heavy shingle are counted in
 BLOOM_BITS = 25                  # size of the filter of wanted classes, as a power of two
 PAIRS = 512                      # members compared with one copy of a pivot
+INNER = 2                        # rounds with pivots from the inside
 
 
 def linked(inter, n, m):
@@ -212,15 +214,31 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _label(labels: DataFrame | None, dist: DataFrame) -> DataFrame:
-    """``node``, ``root``: what is known of components so far. A class without a label takes that of a pivot it is linked with.
+    """``node``, ``root``: what is known of components so far.
 
-    Classes with one label are connected, but connected classes may have several labels: that costs comparisons, no links.
+    A class without a label takes that of a pivot it is linked with. Then each label that a link joins with a smaller one becomes the
+    smallest such, and what that one became. Classes with one label are connected, but for a while connected classes may have
+    several labels: that costs comparisons, no links.
     """
-    found = dist.where("linked = 1").join(dist.select(F.col("p").alias("c")).distinct(), "c", "left_anti").groupBy("c").agg(F.min("p").alias("p"))
+    links, grown = dist.where("linked = 1").select("c", "p"), None
+    found = links.join(dist.select(F.col("p").alias("c")).distinct(), "c", "left_anti").groupBy("c").agg(F.min("p").alias("p"))
+    pivots = links.select(F.col("p").alias("node")).distinct()
     if labels is None:
-        return stage(found.select(F.col("c").alias("node"), F.col("p").alias("root")), "jaccard-labels")
-    fresh = found.join(labels.select(F.col("node").alias("c")), "c", "left_anti").join(labels.withColumnRenamed("node", "p"), "p", "left")
-    return stage(labels.unionByName(fresh.select(F.col("c").alias("node"), F.coalesce("root", "p").alias("root"))), "jaccard-labels")
+        labels = found.select(F.col("c").alias("node"), F.col("p").alias("root")).unionByName(pivots.select("node", F.col("node").alias("root")))
+    else:
+        alone = pivots.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
+        labels = grown = stage(labels.unionByName(alone), "jaccard-labels")
+        fresh = found.join(labels.select(F.col("node").alias("c")), "c", "left_anti").join(labels.withColumnRenamed("node", "p"), "p")
+        labels = labels.unionByName(fresh.select(F.col("c").alias("node"), "root"))
+    labels = stage(labels, "jaccard-labels")
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    ends = links.join(of("c"), "c").join(of("p"), "p").where("_c <> _p").select(F.greatest("_c", "_p").alias("root"), F.least("_c", "_p").alias("less"))
+    hooks = stage(ends.groupBy("root").agg(F.min("less").alias("less")), "jaccard-hooks")
+    last = hooks.join(hooks.select(F.col("root").alias("less"), F.col("less").alias("least")), "less", "left").select("root", F.coalesce("least", "less").alias("to"))
+    merged = stage(labels.join(last, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "jaccard-labels")
+    for done in (labels, hooks, *([grown] if grown is not None else [])):
+        drop_staged(done)
+    return merged
 
 
 def _open(state: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -233,16 +251,24 @@ def _open(state: DataFrame, roots: DataFrame | None) -> DataFrame:
     return state.join(per.where("comps > 1"), "h").withColumn("u", (F.col("main.k") == 1) | (F.col("comp") != F.col("main.comp"))).drop("main", "comps")
 
 
-def _round(state: DataFrame, known: DataFrame | None, sets: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """New distances, and the members that go on: the pivots, now compared with all, and what no window holds drop out."""
+def _round(state: DataFrame, known: DataFrame | None, sets: DataFrame, pivots: int, inner: bool) -> tuple[DataFrame, DataFrame]:
+    """New distances, and the members that go on: the pivots, now compared with all of other components, and what no window holds drop out.
+
+    ``inner``: pivots come from the inside of each region that has one, else from the outer members.
+    """
     slot = F.pmod(F.xxhash64("c"), F.lit(pivots))
-    chosen = state.where("u").groupBy("h", slot.alias("slot")).agg(F.max(F.struct("z", "c", "n", "r", "comp")).alias("q"))
+    able = state.where("u")
+    if inner:
+        inside = state.where("NOT u")
+        able = inside.unionByName(able.join(inside.select("h").distinct(), "h", "left_anti"))
+    chosen = able.groupBy("h", slot.alias("slot")).agg(F.max(F.struct("z", "c", "n", "r", "comp")).alias("q"))
     chosen = stage(chosen.select("h", F.col("q.c").alias("p"), F.col("q.n").alias("m"), F.col("q.r").alias("s"), F.col("q.comp").alias("other")), "jaccard-pivots")
     pairs = state.join(chosen, "h").where("c <> p")
     fresh = pairs.where(enough(F.least("r", "s"), F.col("n"), F.col("m")) & (F.col("comp") != F.col("other"))).select("c", "p").distinct()
     if known is not None:
         fresh = fresh.join(known.select("c", "p"), ["c", "p"], "left_anti")
-    dist = stage(_distances(stage(fresh, "jaccard-pairs"), sets), "jaccard-distances")
+    fresh = stage(fresh, "jaccard-pairs")
+    dist = stage(_distances(fresh, sets), "jaccard-distances")
     known = dist if known is None else known.unionByName(dist)
     apart = 1 - F.col("inter") / (F.col("n") + F.col("m") - F.col("inter"))
     met = pairs.join(known, ["c", "p"], "left")                    # without a distance, sizes give its bounds
@@ -252,7 +278,10 @@ def _round(state: DataFrame, known: DataFrame | None, sets: DataFrame, pivots: i
     outer = members.where("u").select("h", F.explode("d").alias("p", "x")).groupBy("h", "p").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
     outer = outer.groupBy("h").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("st"))
     window = F.forall("st", lambda s: (~F.map_contains_key("d", s["p"])) | (F.element_at("d", s["p"])["hi"] + 0.25000001 >= s["lo"]) & (F.element_at("d", s["p"])["lo"] - 0.25000001 <= s["hi"]))
-    return dist, stage(members.join(outer, "h").where(F.col("u") | window).select("h", "c", "n", "r", "z"), "jaccard-state")
+    left = stage(members.join(outer, "h").where(F.col("u") | window).select("h", "c", "n", "r", "z"), "jaccard-state")
+    for done in (chosen, fresh, members):
+        drop_staged(done)
+    return dist, left
 
 
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -263,12 +292,16 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heavy = rows.select(F.explode("heavy").alias("x")).groupBy("x.h").agg(F.sum("x.k").alias("k")).where(F.col("k") * HEAVY_SHARE >= total)
     often = _heavy(docs, heavy)
     sets = _wanted(docs, _candidates(docs, classes, often))
-    known, labels, pivots, state = None, None, 1, stage(_open(_regions(sets, often), None), "jaccard-open")
+    regions = _regions(sets, often)
+    known, labels, turn, state = None, None, 0, stage(_open(regions, None), "jaccard-open")
     while not state.isEmpty():
-        dist, state = _round(state, known, sets, pivots)
-        known, pivots = dist if known is None else known.unionByName(dist), 2 * pivots
+        dist, left = _round(state, known, sets, 2 ** turn if turn <= INNER else 4 ** (turn - INNER), 0 < turn <= INNER)
+        known, turn, before = dist if known is None else known.unionByName(dist), turn + 1, labels
         labels = _label(labels, dist)
-        state = stage(_open(state, labels), "jaccard-open")
+        opened = stage(_open(left, labels), "jaccard-open")
+        for done in (state, left, *([before] if before is not None else [])):
+            drop_staged(done)
+        state = opened
     if known is None:
         return rows, docs.sparkSession.createDataFrame([], "node long, root long")
     return rows, components(known.where("linked = 1").select(F.col("c").alias("a"), F.col("p").alias("b")))
