@@ -183,10 +183,14 @@ def _regions(sets: DataFrame, known: DataFrame) -> DataFrame:
     least = F.ceil(3 * n / 4).cast("int")
     kept = flagged.join(sets.select("c", n.alias("n"), least.alias("least")), "c").where(F.size("f") >= F.col("least"))
     z = F.aggregate("f", F.lit(0.0), lambda t, x: t + F.log2(x["k"].cast("double"))) / F.col("n")
-    rows = kept.select("c", "n", z.alias("z"), F.size("f").alias("size"), F.posexplode(F.slice("f", F.lit(1), F.size("f") - F.col("least") + 1)).alias("i", "x"))
+    # all that is made of a whole array is made before it is exploded, else it would be made again for every element
+    kept = kept.select("c", "n", z.alias("z"), F.size("f").alias("size"), F.slice("f", F.lit(1), F.greatest(F.lit(0), F.size("f") - F.col("least") + 1)).alias("first"))
+    rows = kept.select("c", "n", "z", "size", F.posexplode("first").alias("i", "x"))
     rows = stage(rows.select(F.col("x.h").alias("h"), "c", "n", (F.col("size") - F.col("i")).cast("long").alias("r"), "z"), "jaccard-regions")
     least_n = rows.groupBy("h").agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return rows.join(least_n, "h").where(enough(F.col("r"), F.col("n"), F.col("low"))).drop("low")
+    kept = stage(rows.join(least_n, "h").where(enough(F.col("r"), F.col("n"), F.col("low"))).drop("low"), "jaccard-regions")
+    drop_staged(rows)
+    return kept
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,6 +298,7 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = _wanted(docs, _candidates(docs, classes, often))
     regions = _regions(sets, often)
     known, labels, turn, state = None, None, 0, stage(_open(regions, None), "jaccard-open")
+    drop_staged(regions)
     while not state.isEmpty():
         dist, left = _round(state, known, sets, 2 ** turn if turn <= INNER else 4 ** (turn - INNER), 0 < turn <= INNER)
         known, turn, before = dist if known is None else known.unionByName(dist), turn + 1, labels
