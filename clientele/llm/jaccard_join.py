@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clientele.functions.staging import drop_staged, stage
+from clientele.functions.staging import drop_staged, free_shuffles, stage
 
 from . import kernels as K
 from .components import components
@@ -295,10 +295,14 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = rows.count()
     heavy = rows.select(F.explode("heavy").alias("x")).groupBy("x.h").agg(F.sum("x.k").alias("k")).where(F.col("k") * HEAVY_SHARE >= total)
     often = _heavy(docs, heavy)
-    sets = _wanted(docs, _candidates(docs, classes, often))
+    found = _candidates(docs, classes, often)
+    free_shuffles(docs.sparkSession)
+    sets = _wanted(docs, found)
+    free_shuffles(docs.sparkSession)
     regions = _regions(sets, often)
     known, labels, turn, state = None, None, 0, stage(_open(regions, None), "jaccard-open")
     drop_staged(regions)
+    free_shuffles(docs.sparkSession)
     while not state.isEmpty():
         dist, left = _round(state, known, sets, 2 ** turn if turn <= INNER else 4 ** (turn - INNER), 0 < turn <= INNER)
         known, turn, before = dist if known is None else known.unionByName(dist), turn + 1, labels
@@ -307,6 +311,7 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for done in (state, left, *([before] if before is not None else [])):
             drop_staged(done)
         state = opened
+        free_shuffles(docs.sparkSession)
     if known is None:
         return rows, docs.sparkSession.createDataFrame([], "node long, root long")
     return rows, components(known.where("linked = 1").select(F.col("c").alias("a"), F.col("p").alias("b")))
