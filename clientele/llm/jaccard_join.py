@@ -22,7 +22,7 @@ What is left is a small part, of which all shingles are counted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -123,27 +123,48 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return _sets(docs, "h long, c long", make)
 
 
-def _wanted(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """``c`` and ``s``, the whole sets of the classes named (and of a few more: the filter is a Bloom filter of fixed size)."""
-    mask = (1 << BLOOM_BITS) - 1
-    bits = names.select(F.explode(F.array(F.col("c").bitwiseAND(mask), F.shiftright("c", BLOOM_BITS).bitwiseAND(mask))).alias("at"))
-    words = bits.groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("b")).toPandas()   # 2**20 rows at most
-    table = np.zeros(1 << (BLOOM_BITS - 5), np.uint64)
+def _filter(names: DataFrame, bits: int = BLOOM_BITS) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of names for those in the column ``c`` (and a few more: it is a Bloom filter of fixed size), for use in tasks."""
+    mask = (1 << bits) - 1
+    places = names.select(F.explode(F.array(F.col("c").bitwiseAND(mask), F.shiftright("c", bits).bitwiseAND(mask))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("b")).toPandas()   # 2**20 rows at most
+    table = np.zeros(1 << (bits - 5), np.uint64)
     table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.uint64)
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    held = names.sparkSession.sparkContext.broadcast(table)
 
-    def make(classes):
-        names = np.fromiter(classes, np.int64, len(classes))
+    def test(names: np.ndarray) -> np.ndarray:
         found = np.ones(len(names), bool)
-        for at in (names & mask, (names >> BLOOM_BITS) & mask):
+        for at in (names & mask, (names >> bits) & mask):
             found &= (held.value[at >> 5] >> (at & 31).astype(np.uint64) & np.uint64(1)).astype(bool)
-        names = names[found]
+        return found
+
+    return test
+
+
+def _wanted(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """``c`` and ``s``, the whole sets of the classes named (and of a few more)."""
+    test = _filter(names)
+
+    def make(classes):
+        names = np.fromiter(classes, np.int64, len(classes))
+        names = names[test(names)]
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([classes[c].tobytes() for c in names.tolist()], pa.binary())], ["c", "s"])
 
     rows = _sets(docs, "c long, s binary", make)
     return stage(rows.groupBy("c").agg(F.first("s").alias("s")), "jaccard-sets")
 
 
+def _only(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """The sets of the classes named (and of a few more), so that a join sends no others."""
+    test = _filter(names, min(BLOOM_BITS, max(10, (16 * names.count()).bit_length())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(test(batch.column("c").to_numpy())))
+
+    return sets.select("c", "s").mapInArrow(run, "c long, s binary")
+
+
 def _heavy(docs: DataFrame, heavy: DataFrame) -> DataFrame:
     found = heavy.orderBy(F.desc("k"), "h").limit(HEAVY_MOST).toPandas()           # bounded
     return docs.sparkSession.createDataFrame(found, "h long, often long")
@@ -194,7 +215,9 @@ def _regions(sets: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``c``, ``p``, ``inter``, ``linked`` of pairs ``c``, ``p``: the pivot's set is sent once for every ``PAIRS`` members."""
+    """``c``, ``p``, ``inter``, ``linked`` of pairs ``c``, ``p``: the pivot's set is sent once for every ``PAIRS`` members, and no set
+    that is in no pair."""
+    sets = _only(sets, pairs.select("c").unionByName(pairs.select(F.col("p").alias("c"))))
     parts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIRS)).alias("parts"))
     members = pairs.join(parts, "p").select("c", "p", F.pmod(F.xxhash64("c"), "parts").alias("part"), F.lit(1).alias("role"))
     pivots = parts.select(F.col("p").alias("c"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
