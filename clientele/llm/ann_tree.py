@@ -168,15 +168,13 @@ def search(vectors: DataFrame, is_query: Column, plan: Plan = Plan(), id_column:
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for a in range(0, len(f), 1024):
-                part = f.iloc[a:a + 1024]
-                scores = matrix(part["q"]) @ held.value.centres.T
-                found = [held.value.visit(s, visits) for s in scores]
-                size = [len(x) for x in found]
-                yield pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), size), "q": np.repeat(part["q"].to_numpy(), size),
-                                    "leaf": np.concatenate([np.asarray(x, np.int64) for x in found]), "place": np.concatenate([np.arange(n, dtype=np.int32) for n in size])})
-
-    walks = stage(queries.mapInPandas(walk, f"query_id long, q {kind}, leaf long, place int"), "ann-walks")
+            for a in range(0, len(f), 256):
+                part = f.iloc[a:a + 256]
+                yield part.assign(leaves=[np.asarray(held.value.visit(s, visits), np.int64) for s in matrix(part["q"]) @ held.value.centres.T])
+
+    # a row per query: its vector is copied to the leaves on the way to the cells, not in a task's memory
+    walks = stage(queries.mapInPandas(walk, f"query_id long, q {kind}, leaves array<long>"), "ann-walks")
+    walks = walks.select("query_id", "q", F.posexplode("leaves").alias("place", "leaf"))
     top = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= plan.k)
     first = stage(top(_meet(filed, walks.where(F.col("place") < plan.first_leaves).withColumn("least", F.lit(float("-inf"))), plan)).drop("rank"), "ann-first")
     least = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == plan.k).drop("n")
